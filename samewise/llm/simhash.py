@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textkit as tk
 from .components import connected_components
@@ -52,15 +52,15 @@ def text_fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long): one row per row of docs."""
+    """(doc_id, h, fp): one row per row of docs; h is Spark's hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in tk.slices(batches, "text"):
             raw, o = data.tobytes(), offs.tolist()
             fp = np.array([text_fingerprint(raw[a:b], width, seed) for a, b in zip(o, o[1:])], np.uint64)
-            yield pa.RecordBatch.from_arrays([rows.column(0), tk.signed(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), tk.signed(fp)], ["doc_id", "h", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def _blocks(bits: list[int], parts: int) -> list[int]:
@@ -163,12 +163,34 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return rows.mapInArrow(lambda it: _strips(it, radius), "a long, b long").distinct()
 
 
+def classes(fps: DataFrame, radius: int = 2) -> DataFrame:
+    """(fp, component) of the distinct fingerprints of fps; component is the least fingerprint linked."""
+    distinct = fps.select("fp").distinct()
+    comp = connected_components(links(distinct, radius))
+    return distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp long, component_id): component_id is the least doc_id linked, directly or not (null if all are null)."""
     fps = staged(fingerprints(docs, text, doc_id, width, seed), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    comp = connected_components(links(distinct.select("fp"), radius))
-    known = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    known = staged(known, "classes")
+    known = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(classes(fps, radius), "fp"), "classes")
     least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
     return fps.join(known.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
+    """One row of docs for each group of near-duplicates, with all its columns.
+
+    It is the row of the group's least id (null ids come last); where rows have that id, the one whose text
+    has the least hash, and any one of those that repeat both.
+    """
+    names = docs.columns
+    fps = staged(fingerprints(docs, text, doc_id, width, seed), "fingerprints")
+    least = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))
+    chosen = least.join(classes(fps, radius), "fp").groupBy("component").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("rep"), F.col("k.h").alias("rep_h"))
+    own = ["__id", "__h", "__n"]
+    while set(own) & set(names):
+        own = [x + "_" for x in own]
+    rows = docs.withColumn(own[0], F.col(doc_id).cast("long")).withColumn(own[1], F.xxhash64(F.col(text)))
+    rows = rows.join(chosen, rows[own[0]].eqNullSafe(chosen["rep"]) & (rows[own[1]] == chosen["rep_h"]), "left_semi")
+    return rows.withColumn(own[2], F.row_number().over(Window.partitionBy(own[0], own[1]).orderBy(F.lit(0)))).where(F.col(own[2]) == 1).select(*names)
