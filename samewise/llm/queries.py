@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, langid, lm, media, pieces, pii, simhash, urls
+from . import decontaminate, langid, lm, media, phrases, pieces, pii, simhash, suffixes, urls
 
 #: The rules of the URL query (fixed values).
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -21,6 +21,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op3_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrase_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -54,6 +62,8 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_phrase_dedup": op3_phrase_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_personal_data": op5_personal_data,
     "op6_sentencepiece": op6_sentencepiece,
