@@ -203,7 +203,7 @@ def _names(spark, sf):
 
 
 _GRAMS = """SELECT record_id, substr(w, i::INT, n::INT) AS gram, count(*) AS tf FROM (SELECT record_id, ' ' || unnest(string_split(norm, ' ')) || ' ' AS w FROM names), (VALUES (3), (4), (5)) s(n), generate_series(1, 40) g(i)
- WHERE i <= greatest(length(w) - n + 1, 1) AND (length(w) >= n OR (n = 3) OR (length(w) = n - 1)) GROUP BY 1, 2"""
+ WHERE i <= greatest(length(w) - n + 1, 1) AND (length(w) >= n OR n = 3) GROUP BY 1, 2"""
 _NAMES = "names AS (SELECT s_suppkey AS record_id, trim('supplier ' || ltrim(substr(s_name, 10, 9), '0') || ' ' || s_nationkey) AS raw, array_to_string(list_filter(string_split('supplier ' || ltrim(substr(s_name, 10, 9), '0') || ' ' || s_nationkey, ' '), lambda x: x <> ''), ' ') AS norm FROM supplier)"
 
 

@@ -155,7 +155,7 @@ def _cut(w: Column, n: int):
 
 
 def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
-    """Character n-grams of each word between spaces; a word shorter than n gives itself once, at its first n."""
+    """Character n-grams of each word between spaces; a word shorter than the least n gives itself once."""
 
     def of(word: Column) -> Column:
         w = F.concat(F.lit(" "), word, F.lit(" "))
@@ -163,7 +163,7 @@ def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
         parts = []
         for n in range(low, high + 1):
             grams = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), _cut(w, n))
-            parts.append(F.when(size >= n, grams).when(size == n - 1 if n > low else size < n, F.array(w)).otherwise(strings([])))
+            parts.append(F.when((size >= n) | F.lit(n == low), grams).otherwise(strings([])))
         return F.concat(*parts)
 
     return F.flatten(F.transform(words(text), of))
