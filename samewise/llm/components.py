@@ -1,44 +1,5 @@
-"""Connected components of a distributed edge table by alternating star contraction."""
+"""Connected components of a distributed edge table."""
 
-from __future__ import annotations
+from ..operators.graph import connected_components
 
-from pyspark.sql import DataFrame, functions as F
-
-from .shared import staged
-
-
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``edges(a, b)``, component being the least node reachable.
-
-    Nodes are longs. Each round links every node's larger neighbours to its least neighbour and then the
-    smaller ones likewise; minima are aggregated before the shuffle and joined back, so a node of any
-    degree is never gathered. Rounds are written to the shared folder. Null ends and self-links are ignored.
-    An empty table gives an empty result.
-    """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null and a > b").distinct()
-    e = staged(e, "edges")
-    before = _state(e)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
-        both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a and b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
-        low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low2, "a")
-        small = joined.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low2.select("a", F.col("m").alias("b"))).where("a > b").distinct()
-        e = staged(small, "edges")
-        now = _state(e)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    # Settled edges form stars: every node points at its component's least node.
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+__all__ = ["connected_components"]

@@ -1,36 +1,14 @@
-"""The folder that driver and executors share, and tables written there to cut lineage."""
+"""The folder that driver and executors share, and how workers read files there."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-ROW_SCHEMA_NOTE = "Tables in the shared folder are named by a fresh uuid, so runs never read each other's."
+from ..storage import fresh, root, staged
 
-
-def root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where the setting is absent."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="samewise-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{root(spark)}/samewise-{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: later plans start from its files."""
-    spark = df.sparkSession
-    path = fresh(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["drop", "file_system", "fresh", "partitions", "root", "staged"]
 
 
 def drop(spark: SparkSession, path: str) -> None:
