@@ -4,7 +4,7 @@ Base identifiers are found in the text as it stands. Then a transducer rewrites
 full-width characters, spelled digits, "at" and "dot" in brackets or between spaces - while it keeps, for
 each character it writes, the span of source characters that it stands for; identifiers of the rewritten
 text are mapped back to source characters. Spans are in code points, end exclusive. A mapped span that
-overlaps a base span of its kind is left out, so base spans stay as they are.
+lies in a base span of its kind is left out; others are added, and base spans stay as they are.
 
 Null and empty texts have no spans. Texts are used whole; every scan is linear in the text's length.
 Repeated rows give repeated results; an empty table gives an empty result; other columns are not read,
@@ -175,9 +175,9 @@ def all_spans(text: str) -> tuple[dict[str, list[Span]], list[tuple[int, int, st
             taken, i = base[k], 0
             for span in FINDERS[k](plain.text):
                 s, e = plain.back(span)
-                while i < len(taken) and taken[i][1] <= s:
+                while i < len(taken) and taken[i][1] < e:
                     i += 1
-                if i == len(taken) or taken[i][0] >= e:
+                if i == len(taken) or taken[i][0] > s:
                     found.append((s, e, KINDS.index(k)))
     found.sort(key=lambda x: (x[0], x[2], x[1]))
     return base, [(s, e, KINDS[k]) for s, e, k in found]
