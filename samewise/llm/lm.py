@@ -19,6 +19,7 @@ rows count as often as they occur. An empty training set gives the uniform model
 from __future__ import annotations
 
 import json
+import math
 import os
 import tempfile
 import uuid
@@ -30,9 +31,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textkit as tk
 from .langid import held_out
-from .shared import drop, file_system, fresh, partitions
+from .shared import drop, file_system, fresh
 
-CHUNK, SALTS, SLICE = 1_500_000, 16, 4 << 20
+CHUNK, SALTS, SLICE, BUCKET_BYTES = 1_500_000, 16, 4 << 20, 8 << 20
 START, END = np.uint64(0x5BF0_3635_DB9B_1F01), np.uint64(0x2545_F491_4F6C_DD1D)
 BLOCK = "bucket int, a binary, b binary, n binary"
 
@@ -63,6 +64,11 @@ def bucket_of(u: np.ndarray, v: np.ndarray, buckets: int) -> np.ndarray:
     return (tk.mix(u + (v >> np.uint64(60)) % np.uint64(SALTS)) % np.uint64(buckets)).astype(np.int32)
 
 
+def word_bucket(word: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of words, ascending with them."""
+    return (word >> np.uint64(44)).astype(np.int64) * buckets >> 20
+
+
 def _send(bucket: np.ndarray, arrays: list[np.ndarray], buckets: int, names: list[str]) -> pa.RecordBatch:
     """One row per bucket with the bytes of its part of each array."""
     order = np.argsort(bucket.astype(np.uint16), kind="stable")
@@ -126,7 +132,7 @@ def count_pairs(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, BLOCK)
 
 
-def _sum_pairs(folder: str, buckets: int):
+def _sum_pairs(folder: str, spread: int):
     def run(table: pa.Table) -> pa.Table:
         k = table.column("bucket")[0].as_py()
         u, v, n = _joined(table, "a", np.uint64), _joined(table, "b", np.uint64), _joined(table, "n", np.uint32)
@@ -147,9 +153,11 @@ def _sum_pairs(folder: str, buckets: int):
         gains[:, 4] = np.bincount(cu[n > 2], minlength=len(word))
         gains[:, 5] = np.bincount(cv, minlength=len(word))
         counts = np.bincount(np.minimum(n, 5), minlength=6)[1:5]
-        out = _send((word >> np.uint64(44)).astype(np.int64) * buckets >> 20, [word, np.ascontiguousarray(gains).view(np.dtype((np.void, 24))).ravel()], buckets, ["bucket", "a", "b"])
-        out = pa.Table.from_batches([out.append_column("n", pa.array([counts.astype(np.int64).tobytes() if i == 0 else b"" for i in range(out.num_rows)], pa.binary()))])
-        return out
+        # words ascend, so a bucket's are a run; columns one after the other, as most are nearly all 0 or 1
+        cut = np.searchsorted(word_bucket(word, spread), np.arange(spread + 1)).tolist()
+        rows = [(i, word[a:b].tobytes(), gains[a:b].T.tobytes()) for i, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
+        first = [counts.astype(np.int64).tobytes()] + [b""] * (len(rows) - 1)
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "a": pa.array([r[1] for r in rows], pa.binary()), "b": pa.array([r[2] for r in rows], pa.binary()), "n": pa.array(first, pa.binary())})
 
     return run
 
@@ -157,12 +165,14 @@ def _sum_pairs(folder: str, buckets: int):
 def _sum_words(folder: str):
     def run(table: pa.Table) -> pa.Table:
         k = table.column("bucket")[0].as_py()
-        word, gains = _joined(table, "a", np.uint64), _joined(table, "b", np.uint32).reshape(-1, 6)
+        word = _joined(table, "a", np.uint64)
+        gains = np.concatenate([np.frombuffer(b, np.uint32).reshape(6, -1).T for b in table.column("b").to_pylist()])
         order = np.argsort(word)
         word, gains = word[order], gains[order].astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         word, gains = word[first], np.add.reduceat(gains, first, axis=0)
-        _write(folder, f"words-{k:05d}", {"h": word, "n": np.ascontiguousarray(gains)})
+        kind = np.uint32 if gains.max() < 1 << 32 else np.int64
+        _write(folder, f"words-{k:05d}", {"h": word, "n" if kind is np.uint32 else "wide": np.ascontiguousarray(gains.astype(kind))})
         pairs = _joined(table, "n", np.int64).reshape(-1, 4).sum(axis=0)
         cont = np.bincount(np.minimum(gains[:, 5], 5), minlength=6)[1:5]
         row = [*pairs, *cont, gains[:, 0].sum(), (gains[:, 0] > 0).sum(), gains[:, 5].sum()]
@@ -184,13 +194,15 @@ def train(docs: DataFrame, folder: str | None = None) -> str:
     """Count docs(text) and write the model; returns its folder."""
     spark = docs.sparkSession
     folder = folder or fresh(spark, "lm")
-    buckets = max(64, 4 * partitions(spark))
-    pairs = count_pairs(docs, buckets).groupBy("bucket").applyInArrow(_sum_pairs(folder, buckets), BLOCK)
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(64, math.ceil(total / BUCKET_BYTES))
+    spread = max(16, buckets // 8)  # few, as every pair bucket has words for each
+    pairs = count_pairs(docs, buckets).groupBy("bucket").applyInArrow(_sum_pairs(folder, spread), BLOCK)
     words = pairs.groupBy("bucket").applyInArrow(_sum_words(folder), ", ".join(f"s{i} long" for i in range(11)))
     s = words.agg(*[F.sum(f"s{i}") for i in range(11)]).first()
     s = [int(x or 0) for x in s]
     d, e = discounts(s[:4]), discounts(s[4:8])
-    meta = {"buckets": buckets, "pair_discounts": d, "word_discounts": e, "tokens": s[8], "vocabulary": s[9], "continuations": s[10]}
+    meta = {"buckets": buckets, "spread": spread, "pair_discounts": d, "word_discounts": e, "tokens": s[8], "vocabulary": s[9], "continuations": s[10]}
     # n1, n2 and n3+ of the continuation counts: the weight that they leave to the uniform distribution
     n3 = s[9] - s[4] - s[5]
     meta["uniform"] = (e[0] * s[4] + e[1] * s[5] + e[2] * n3) / s[10] if s[10] else 1.0
@@ -216,7 +228,7 @@ class Model:
             self.meta = json.load(f)
         self.base, n = base, self.meta["buckets"]
         self.pairs = [self._pairs(k) for k in range(n)]
-        self.words = [self._load(f"words-{k:05d}", {"h": np.uint64, "n": np.int64}) for k in range(n)]
+        self.words = [self._words(k) for k in range(self.meta["spread"])]
         m = self.meta
         self.d, self.e = np.array([0, *m["pair_discounts"]]), np.array([0, *m["word_discounts"]])
         self.floor = m["uniform"] / (m["vocabulary"] + 1)
@@ -231,12 +243,15 @@ class Model:
     def _pairs(self, k: int) -> dict:
         return self._load(f"pairs-{k:05d}", {"h": np.uint64, "n": np.uint8, "at": np.int64, "more": np.int64})
 
+    def _words(self, k: int) -> dict:
+        t = self._load(f"words-{k:05d}", {"h": np.uint64, "n": np.uint32, "wide": np.int64})
+        return {"h": t["h"], "n": t["n"] if len(t["n"]) else t["wide"]}
+
     def word_gains(self, word: np.ndarray) -> np.ndarray:
         """The six numbers of each of the sorted distinct words; zeros if unknown."""
-        n = self.meta["buckets"]
+        n = self.meta["spread"]
         out = np.zeros((len(word), 6), np.int64)
-        bucket = (word >> np.uint64(44)).astype(np.int64) * n >> 20  # ascending with the word
-        cut = np.searchsorted(bucket, np.arange(n + 1))
+        cut = np.searchsorted(word_bucket(word, n), np.arange(n + 1))
         for k in np.flatnonzero(np.diff(cut)).tolist():
             w, t = word[cut[k] : cut[k + 1]], self.words[k]
             if len(t["h"]):
