@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions import reference as R, similarity as S, text as X, uom as U, variants as V
-from .operators import blocking, fusion, graph, groups, resolve, retrieval, review, rules
+from .functions import identity as I, reference as R, similarity as S, text as X, uom as U, variants as V
+from .operators import advisory, blocking, fusion, graph, groups, resolve, retrieval, review, rules
 from .plans.scan import scan
 from .sources import sinks
 
@@ -468,3 +468,52 @@ def recall_pool(spark, sf):
     p = df.select("id1", "id2", score.alias("score"), signals.alias("signals")).where("score >= 62 and signals >= 2")
     both = p.select(F.col("id1").alias("src"), F.col("id2").alias("dst"), "score").unionByName(p.select(F.col("id2").alias("src"), F.col("id1").alias("dst"), "score"))
     return retrieval.undirected(retrieval.top_k(both, 3).drop("rank"))
+
+
+@query("""WITH o AS (SELECT p_partkey AS r, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS g FROM part), n AS (SELECT p_partkey AS r, min(p_partkey) OVER (PARTITION BY p_name, p_brand, p_type) AS g FROM part),
+st AS (SELECT g AS t, count(*) AS n_t FROM o GROUP BY 1 HAVING count(*) > 1), sf AS (SELECT g AS f, count(*) AS n_f FROM n GROUP BY 1 HAVING count(*) > 1),
+v AS (SELECT o.g AS t, n.g AS f, count(*) AS c FROM o JOIN n ON o.r = n.r GROUP BY 1, 2), x AS (SELECT * FROM v JOIN st USING (t) JOIN sf USING (f)),
+a AS (SELECT count(*) AS true_groups, sum((e IS TRUE)::INT)::BIGINT AS exact, sum((coalesce(p, 0) > 1)::INT)::BIGINT AS split, sum((p IS NULL)::INT)::BIGINT AS missed FROM st LEFT JOIN (SELECT t, count(*) AS p, bool_or(c = n_t AND c = n_f) AS e FROM x GROUP BY 1) USING (t)), b AS (SELECT count(*) AS found_groups FROM sf)
+SELECT true_groups, found_groups, exact, split, missed, round(exact / found_groups, 6) AS "precision", round(exact / true_groups, 6) AS recall FROM a, b""")
+def exact_group_quality(spark, sf):
+    p = _t(spark, sf, "part").select(F.col("p_partkey").alias("record_id"), "p_name", "p_brand", "p_type")
+    by = lambda keys: p.join(p.groupBy(*keys).agg(F.min("record_id").alias("group_id")), keys).select("group_id", "record_id")
+    q = groups.exact_group_quality(by(["p_name", "p_brand"]), by(["p_name", "p_brand", "p_type"]))
+    return q.select("true_groups", "found_groups", "exact", "split", "missed", "precision", "recall")
+
+
+@query("""SELECT p_type, count(*) FILTER (p_size % 3 = 0) AS a, count(*) FILTER (p_size % 3 = 1) AS b, count(*) FILTER (p_size % 3 = 2) AS c FROM part GROUP BY 1""")
+def confusion_matrix(spark, sf):
+    rows = _t(spark, sf, "part").select("p_type", X.at(X.strings(["a", "b", "c"]), (F.col("p_size") % 3 + 1).cast("int")).alias("guess"))
+    return groups.confusion(rows, "p_type", "guess", ["a", "b", "c"])
+
+
+@query("SELECT quantile_disc(n, 0.5) AS p50, quantile_disc(n, 0.95) AS p95, quantile_disc(n, 0.99) AS p99 FROM (SELECT p_name, count(*) AS n FROM part GROUP BY 1)")
+def posting_percentiles(spark, sf):
+    return groups.size_percentiles(_t(spark, sf, "part").groupBy("p_name").agg(F.count("*").alias("n")), "n")
+
+
+@query("""WITH e AS (SELECT event_id, user_id AS id1, user_id + 1 + event_id % 3 AS id2, event_type FROM events) SELECT DISTINCT m.id1, m.id2, 'MUST_LINK_AGAINST_MACHINE' AS problem FROM (SELECT DISTINCT id1, id2 FROM e WHERE event_type = 'purchase') m JOIN (SELECT DISTINCT id1, id2 FROM e WHERE event_type = 'error') x USING (id1, id2)""")
+def constraint_conflicts(spark, sf):
+    e = _t(spark, sf, "events").select("event_type", F.col("user_id").alias("id1"), (F.col("user_id") + 1 + F.col("event_id") % 3).alias("id2"))
+    must = e.where("event_type = 'purchase'").select("id1", "id2", F.lit("MUST_LINK").alias("type")).distinct()
+    return groups.constraint_conflicts(e.where("event_type = 'error'").select("id1", "id2", F.lit("CANNOT_LINK").alias("edge_class")).distinct(), must)
+
+
+@query("""WITH t AS (SELECT p_partkey AS record_id, CASE p_partkey % 6 WHEN 0 THEN 'left side ' WHEN 1 THEN 'rh ' WHEN 2 THEN 'tyre snow ' WHEN 3 THEN 'head ' WHEN 4 THEN 'tail ' ELSE 'wheel ' END AS d, p_name FROM part),
+v AS (SELECT a.record_id AS id1, b.record_id AS id2, a.d AS d1, b.d AS d2 FROM t a JOIN t b ON a.p_name = b.p_name AND a.record_id < b.record_id)
+SELECT id1, id2, CASE WHEN (d1, d2) IN (('tyre snow ', 'wheel '), ('wheel ', 'tyre snow ')) THEN 'IDENTITY_OBJECT_CLASS' WHEN (d1, d2) IN (('left side ', 'rh '), ('rh ', 'left side ')) THEN 'IDENTITY_SIDE_VARIANT' ELSE 'FUNCTIONAL_LOCATION_IDENTITY' END AS conflicts FROM v
+WHERE (d1, d2) IN (('tyre snow ', 'wheel '), ('wheel ', 'tyre snow '), ('left side ', 'rh '), ('rh ', 'left side '), ('head ', 'tail '), ('tail ', 'head '))""")
+def protected_conflicts(spark, sf):
+    d = X.at(X.strings(["left side ", "rh ", "tyre snow ", "head ", "tail ", "wheel "]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    t = _t(spark, sf, "part").select(F.col("p_partkey").alias("record_id"), "p_name", F.concat(d, "p_name").alias("text"))
+    t = I.with_discriminators(t, F.lit(None).cast("string"), F.col("text"), "x")
+    pairs = t.select(F.col("record_id").alias("id1"), "p_name", F.col("x").alias("a")).join(t.select(F.col("record_id").alias("id2"), "p_name", F.col("x").alias("b")), "p_name").where("id1 < id2")
+    none = F.lit(None).cast("string")
+    return pairs.select("id1", "id2", F.array_join(I.protected_conflicts(F.col("a"), F.col("b"), none, none), ",").alias("conflicts")).where("conflicts != ''")
+
+
+@query()
+def advisory_eligibility(spark, sf):
+    df = rules.evaluate(_featured(spark, sf), FIELDS, "DISCOVERY", uom_review=True)
+    return df.select(advisory.eligibility(df).alias("gate"), advisory.explanation(df).alias("text")).groupBy("gate", "text").agg(F.count("*").alias("n"))

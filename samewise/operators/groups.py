@@ -95,3 +95,41 @@ def binary_quality(labelled: DataFrame, truth: str, guess: str) -> DataFrame:
     df = labelled.agg(n(t & g).alias("tp"), n(~t & g).alias("fp"), n(t & ~g).alias("fn"), n(~t & ~g).alias("tn"))
     p, r = F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0)), F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0))
     return df.select("tp", "fp", "fn", "tn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(2 * p * r / F.nullif(p + r, F.lit(0.0)), 6).alias("f1"))
+
+
+def exact_group_quality(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """Groups of two or more found exactly as they are: counts, precision, recall, F1, coverage, and split, merged, missed and spurious groups."""
+    t, f = (df.select("record_id", F.col("group_id").alias(k)) for df, k in ((truth, "t"), (found, "f")))
+    size = lambda df, k: df.groupBy(k).agg(F.count("*").alias(f"n_{k}")).where(F.col(f"n_{k}") > 1)
+    st, sf = size(t, "t"), size(f, "f")
+    over = t.join(f, "record_id").groupBy("t", "f").agg(F.count("*").alias("n")).join(st, "t").join(sf, "f")
+    by_t = over.groupBy("t").agg(F.count("*").alias("parts"), F.bool_or((F.col("n") == F.col("n_t")) & (F.col("n") == F.col("n_f"))).alias("exact"))
+    by_f = over.groupBy("f").agg(F.count("*").alias("parts"))
+    one = lambda c, name: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(name)
+    a = st.join(by_t, "t", "left").agg(F.count("*").alias("true_groups"), one(F.coalesce("exact", F.lit(False)), "exact"), one(F.coalesce(F.col("parts") > 1, F.lit(False)), "split"), one(F.col("parts").isNull(), "missed"), F.coalesce(F.sum(F.when(F.col("exact"), F.col("n_t"))) / F.sum("n_t"), F.lit(0.0)).alias("coverage"))
+    b = sf.join(by_f, "f", "left").agg(F.count("*").alias("found_groups"), one(F.coalesce(F.col("parts") > 1, F.lit(False)), "merged"), one(F.col("parts").isNull(), "spurious"))
+    p, r = F.col("exact") / F.nullif(F.col("found_groups"), F.lit(0)), F.col("exact") / F.nullif(F.col("true_groups"), F.lit(0))
+    return a.join(b).select("true_groups", "found_groups", "exact", "split", "merged", "missed", "spurious", F.round("coverage", 6).alias("coverage"), F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(2 * p * r / F.nullif(p + r, F.lit(0.0)), 6).alias("f1"))
+
+
+def confusion(rows: DataFrame, label: str, guess: str, guesses: list[str]) -> DataFrame:
+    """Rows by label, a column per guess."""
+    return rows.groupBy(label).pivot(guess, guesses).count().fillna(0, guesses)
+
+
+def size_percentiles(sizes: DataFrame, column: str) -> DataFrame:
+    """Percentiles 50, 95 and 99 as values that occur: the least with at least that share at or below it."""
+    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
+    return sizes.agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+
+
+def constraint_conflicts(edges: DataFrame, constraints: DataFrame) -> DataFrame:
+    """(id1, id2, problem): must-links against a machine's or, through their closure, a human's cannot-link."""
+    from .graph import connected_components
+
+    must = constraints.where("type = 'MUST_LINK'").select("id1", "id2")
+    machine = must.join(edges.where("edge_class = 'CANNOT_LINK'").select("id1", "id2"), ["id1", "id2"]).select("id1", "id2", F.lit("MUST_LINK_AGAINST_MACHINE").alias("problem"))
+    joined = connected_components(must.select(F.col("id1").alias("a"), F.col("id2").alias("b")))
+    side = lambda k: joined.select(F.col("node").alias(f"id{k}"), F.col("component").alias(f"c{k}"))
+    human = constraints.where("type = 'CANNOT_LINK'").select("id1", "id2").join(side(1), "id1").join(side(2), "id2").where("c1 = c2").select("id1", "id2", F.lit("MUST_LINK_CLOSURE_AGAINST_HUMAN").alias("problem"))
+    return machine.unionByName(human).distinct()

@@ -4,38 +4,66 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from samewise.operators import blocking, fusion, graph, groups, resolve, retrieval, review, rules
+from samewise.functions import identity
+from samewise.operators import advisory, blocking, fusion, graph, groups, resolve, retrieval, review, rules
 from samewise.sources import sinks, tables
 
 FIELDS = ["unit_meas", "contract"]
 COLUMNS = "record_id long, part_no string, description string, contract string, unit_meas string, hsn_sac_code string, product_category_id string"
 
 
-def scored(spark, a, b, mode="SAME_SITE_DUPLICATE", **kw):
-    base = {"part_no": "P1", "description": "x", "contract": "A", "unit_meas": "pcs", "hsn_sac_code": None, "product_category_id": None}
-    rows = [{"record_id": 1, **base, **a}, {"record_id": 2, **base, "part_no": "P2", **b}]
-    df = rules.with_features(spark.createDataFrame([tuple(r.values()) for r in rows], COLUMNS))
-    pairs = spark.createDataFrame([(1, 2)], "id1 long, id2 long")
-    return rules.classify_edges(rules.evaluate(rules.joined(pairs, df), FIELDS, mode, **kw)).first()
+CASCADE = [
+    ({"description": "MCB30A"}, {"description": "MCB 30 Amp"}, 100.0, "LIKELY_DUPLICATE", "", "STRONG_SUPPORT"),
+    ({"description": "Bolt 10MM"}, {"description": "Bolt 12MM"}, 55.0, "RELATED_BUT_NOT_DUPLICATE", "DIMENSION_MISMATCH", "CANNOT_LINK"),
+    ({"description": "pump", "part_no": "P2"}, {"description": "pump"}, 0.0, "REJECTED_BY_BUSINESS_RULE", "SAME_PART_NO", "NON_GROUPABLE"),
+    ({"hsn_sac_code": "1"}, {"hsn_sac_code": "2"}, 45.0, "DATA_CONFLICT_REVIEW", "HSN_SAC_CODE_MISMATCH", "CANNOT_LINK"),
+    ({"unit_meas": "kg"}, {}, 45.0, "REJECTED_BY_BUSINESS_RULE", "UNIT_MEAS_MISMATCH", "NON_GROUPABLE"),
+    ({"contract": "B"}, {}, 55.0, "CROSS_SITE_STANDARDIZATION_CANDIDATE", "CONTRACT_MISMATCH_IN_SAME_SITE_MODE", "NON_GROUPABLE"),
+    ({"description": "switch wireless panel"}, {"description": "switch panel"}, 65.0, "INSUFFICIENT_DATA", "CONNECTIVITY_UNSPECIFIED", "NON_GROUPABLE"),
+    ({"description": "plate steel 20x30"}, {"description": "plate steel 30x20"}, 75.0, "POSSIBLE_DUPLICATE_REVIEW", "REORDERED_NUMBERS", "REVIEW_SUPPORT"),
+    ({"description": "label"}, {"description": "label"}, 65.0, "POSSIBLE_DUPLICATE_REVIEW", "GENERIC_DESCRIPTION", "REVIEW_SUPPORT"),
+]
 
 
-@pytest.mark.parametrize(
-    ("a", "b", "score", "status", "reason", "edge"),
-    [
-        ({"description": "MCB30A"}, {"description": "MCB 30 Amp"}, 100.0, "LIKELY_DUPLICATE", "", "STRONG_SUPPORT"),
-        ({"description": "Bolt 10MM"}, {"description": "Bolt 12MM"}, 55.0, "RELATED_BUT_NOT_DUPLICATE", "DIMENSION_MISMATCH", "CANNOT_LINK"),
-        ({"description": "pump", "part_no": "P2"}, {"description": "pump"}, 0.0, "REJECTED_BY_BUSINESS_RULE", "SAME_PART_NO", "NON_GROUPABLE"),
-        ({"hsn_sac_code": "1"}, {"hsn_sac_code": "2"}, 45.0, "DATA_CONFLICT_REVIEW", "HSN_SAC_CODE_MISMATCH", "CANNOT_LINK"),
-        ({"unit_meas": "kg"}, {}, 45.0, "REJECTED_BY_BUSINESS_RULE", "UNIT_MEAS_MISMATCH", "NON_GROUPABLE"),
-        ({"contract": "B"}, {}, 55.0, "CROSS_SITE_STANDARDIZATION_CANDIDATE", "CONTRACT_MISMATCH_IN_SAME_SITE_MODE", "NON_GROUPABLE"),
-        ({"description": "switch wireless panel"}, {"description": "switch panel"}, 65.0, "INSUFFICIENT_DATA", "CONNECTIVITY_UNSPECIFIED", "NON_GROUPABLE"),
-        ({"description": "plate steel 20x30"}, {"description": "plate steel 30x20"}, 75.0, "POSSIBLE_DUPLICATE_REVIEW", "REORDERED_NUMBERS", "REVIEW_SUPPORT"),
-        ({"description": "label"}, {"description": "label"}, 65.0, "POSSIBLE_DUPLICATE_REVIEW", "GENERIC_DESCRIPTION", "REVIEW_SUPPORT"),
-    ],
-)
-def test_score_cascade(spark, a, b, score, status, reason, edge):
-    r = scored(spark, a, b)
-    assert (r.score, r.business_status, r.rejection_reason, r.edge_class) == (score, status, reason, edge)
+def test_score_cascade(spark):
+    base = {"part_no": "P1", "description": "x", "contract": "A", "unit_meas": "pcs", "hsn_sac_code": None, "product_category_id": None}
+    rows = []
+    for k, (a, b, *_) in enumerate(CASCADE):
+        rows += [(2 * k, *{**base, **a}.values()), (2 * k + 1, *{**base, "part_no": "P2", **b}.values())]
+    df = rules.with_features(spark.createDataFrame(rows, COLUMNS))
+    pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(len(CASCADE))], "id1 long, id2 long")
+    scored = rules.classify_edges(rules.evaluate(rules.joined(pairs, df), FIELDS))
+    gate = scored.select("*", advisory.eligibility(scored).alias("gate")).orderBy("id1").collect()
+    for r, (_, _, *want) in zip(gate, CASCADE):
+        assert [r.score, r.business_status, r.rejection_reason, r.edge_class] == want
+    assert [r.gate for r in gate][0] == "INELIGIBLE_CLEAR_DUPLICATE" and gate[7].gate == "ELIGIBLE_REVIEW_STATUS"
+
+
+def test_identity(spark):
+    names = [("P", "mirror LH"), ("P", "mirror r/h"), ("P", "buffer"), ("P", "tyre snow"), ("P", "tyre slick"), ("P", "head lamp"), ("P", "tail lamp"), ("discount 1", "x"), ("condition 1", "x"), ("P", "head kit")]
+    df = spark.createDataFrame([(i, *n) for i, n in enumerate(names)], "id int, p string, d string")
+    x = identity.with_discriminators(df, F.col("p"), F.col("d"), "x").select("id", "x")
+    none = F.lit(None).cast("string")
+    both = x.select(F.col("id").alias("i"), F.col("x").alias("a")).crossJoin(x.select(F.col("id").alias("j"), F.col("x").alias("b"))).where("i < j")
+    got = {(r.i, r.j): r.c for r in both.select("i", "j", identity.protected_conflicts(F.col("a"), F.col("b"), none, none).alias("c")).collect() if r.c}
+    assert got == {(0, 1): ["IDENTITY_SIDE_VARIANT"], (0, 2): ["IDENTITY_OBJECT_CLASS"], (1, 2): ["IDENTITY_OBJECT_CLASS"], (3, 4): ["MUTUALLY_EXCLUSIVE_TYRE_VARIANT"], (5, 6): ["FUNCTIONAL_LOCATION_IDENTITY"], (7, 8): ["IDENTITY_CONSTRUCT_CLASS"]}
+
+
+def test_profiles_and_trust(spark):
+    p = spark.createDataFrame([("ball valve", "ball valve brass"), ("valve", "pump"), ("UNKNOWN", "pump")], "product_type_1 string, product_type_2 string")
+    assert [r[0].assessment for r in p.select(advisory.compare_profiles(p)).collect()] == ["INCONCLUSIVE", "SUPPORTS_NON_DUPLICATE", "INCONCLUSIVE"]
+    assert [r[0] for r in p.select(advisory.equivalent(F.col("product_type_1"), F.col("product_type_2"))).collect()] == [True, False, False]
+    t = spark.createDataFrame([("A1", "B2", "oil filter", "oil filter", 10.0), ("pump-1", "pump-2", "big pump", "big pump", 10.0), ("A", "B", "mcb30a", "MCB 30 A", 0.0)], "part_no_1 string, part_no_2 string, description_1 string, description_2 string, part_no_similarity double").withColumn("description_similarity", F.lit(95.0))
+    assert [r[0] for r in t.select(advisory.lexical_risks(t, F.lit(True))).collect()] == [["LEXICAL_SUPPORT_NOT_INDEPENDENT"], [], []]
+
+
+def test_exact_quality(spark):
+    t = spark.createDataFrame([(1, 1), (1, 2), (2, 3), (2, 4), (2, 5), (3, 6), (3, 7), (4, 8)], "group_id long, record_id long")
+    f = spark.createDataFrame([(1, 1), (1, 2), (2, 3), (2, 4), (3, 5), (3, 9), (7, 20), (7, 21)], "group_id long, record_id long")
+    r = groups.exact_group_quality(t, f).first()
+    assert (r.true_groups, r.found_groups, r.exact, r.split, r.merged, r.missed, r.spurious) == (3, 4, 1, 1, 0, 1, 1)
+    c = groups.constraint_conflicts(spark.createDataFrame([(1, 2, "CANNOT_LINK")], "id1 long, id2 long, edge_class string"), spark.createDataFrame([(1, 2, "MUST_LINK"), (2, 3, "MUST_LINK"), (1, 3, "CANNOT_LINK")], "id1 long, id2 long, type string"))
+    assert {(x.id1, x.id2, x.problem) for x in c.collect()} == {(1, 2, "MUST_LINK_AGAINST_MACHINE"), (1, 3, "MUST_LINK_CLOSURE_AGAINST_HUMAN")}
 
 
 def test_blocking(spark):
