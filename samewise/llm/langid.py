@@ -2,7 +2,7 @@
 
 A text is the bag of its byte n-grams (``ORDERS``) hashed into ``BUCKETS``; its vector is the mean of
 their embeddings, its logits a linear map of that. Both are trained by stochastic gradient descent on a
-bounded sample of labelled rows: the ``PER_LANGUAGE`` rows of each language with the least hash of their
+bounded sample of labelled rows: at most ``PER_LANGUAGE`` different texts of each language, by a hash of the
 text (documented bound; whole texts). A quarter of the sample is kept from training: there a temperature
 is fitted, and the probability below which a prediction is rejected is set to the ``REJECT`` quantile of
 correct predictions, at most ``CEILING``. Every text is scored whole.
@@ -90,9 +90,15 @@ class Model:
 
 def sample(labelled: DataFrame) -> DataFrame:
     """(lang, ids, counts): the bounded training sample of labelled(text, lang) as sparse bags."""
-    w = Window.partitionBy("lang").orderBy("h", "text")
-    # The rank is bounded before its shuffle, so a language of any size sends PER_LANGUAGE rows a task.
-    few = labelled.where("lang is not null and text is not null").withColumn("h", F.xxhash64("text")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= PER_LANGUAGE)
+    rows = labelled.where("lang is not null and text is not null")
+    counts = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    # the hash alone leaves a few times as many rows as are wanted, before any row moves; equal texts count once
+    share = F.lit(0.0)
+    for lang, n in counts.items():
+        share = F.when(F.col("lang") == lang, F.lit(4 * PER_LANGUAGE / n)).otherwise(share)
+    few = rows.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["lang", "h"])
+    w = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
+    few = few.withColumn("k", F.row_number().over(w)).where(F.col("k") <= PER_LANGUAGE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
