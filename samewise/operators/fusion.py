@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import reference as R, uom as U
+from ..storage import staged
 
 TIERS = ["TIER_A", "TIER_B", "TIER_C"]
 
@@ -15,12 +16,12 @@ TIERS = ["TIER_A", "TIER_B", "TIER_C"]
 def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """df with its place from 1 in a total order, without one task for all rows.
 
-    Rows are range-partitioned by the order; a partition's offset is the number of rows before it, from a
-    count per partition (one small row each).
+    Rows are range-partitioned by the order and written with their partition, so that the cuts are made once;
+    a partition's offset is the number of rows before it, from a count per partition (one small row each).
     """
     spark = df.sparkSession
     parts = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    numbered = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    numbered = staged(parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order))), "ranked")
     sizes = numbered.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
     return numbered.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
