@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -32,7 +34,7 @@ from .shared import partitions
 
 SHELF_BYTES, HOT = 4 << 20, 4096
 SHELF = "shelf int, key binary, n long, z binary"
-RECORD = "lead binary, at int, body binary, shelf int, no int, multi boolean"
+RECORD = "lead binary, at int, body binary, shelf int, no int, multi boolean, part int"
 RUNS = "shelf int, kind int, a binary"
 
 
@@ -127,7 +129,8 @@ def segments(spec: Spec, docs: list[Doc], hot: np.ndarray | None = None) -> Iter
         if total < L:
             continue
         at = np.arange(total - k + 1)
-        g = tk.spans_hash(pre, at, at + k, chain)
+        _, down = tk._scale(total + 1, chain)
+        g = (pre[k:] - pre[: total - k + 1]) * down[: total - k + 1]  # the high bits decide; chosen ones are mixed below
         least = tk.window_min((g & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), L - k + 1)
         anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
         p = tk.within(first, L)
@@ -136,7 +139,7 @@ def segments(spec: Spec, docs: list[Doc], hot: np.ndarray | None = None) -> Iter
         a = anchor[p]
         new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1)]))
         lo, hi, a = p[new], p[np.append(new[1:], len(p)) - 1], a[new]
-        h = g[a]
+        h = tk.mix(g[a] + np.uint64(k))
         if hot is not None:
             keep = member(h, hot)
             lo, hi, a, h = lo[keep], hi[keep], a[keep], h[keep]
@@ -281,6 +284,10 @@ def _hot_windows(spec: Spec, buckets: int):
     return run
 
 
+def hash_part(lead: bytes) -> int:
+    return zlib.crc32(lead) & 0x7FFFFFFF
+
+
 def body(spec: Spec, doc: Doc, spans: list[tuple[int, int]]) -> list[bytes]:
     """Bytes of token spans [first, end) of a text; words are joined by one space."""
     if not spec.words:
@@ -289,7 +296,29 @@ def body(spec: Spec, doc: Doc, spans: list[tuple[int, int]]) -> list[bytes]:
     return [b" ".join(w[a:b]) for a, b in spans]
 
 
-def _send_records(spec: Spec):
+def splitters(docs: DataFrame, spec: Spec, total: int, parts: int) -> list[bytes]:
+    """Leading tokens that cut all segments' into about equal parts, from the segments of a sample of about SHELF_BYTES of text.
+
+    The sample only balances the parts: every record is dealt by its own leading tokens.
+    """
+    every = max(1, total // SHELF_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = {t.as_py().encode() for batch in batches for t in batch.column(0)}
+        found = [Doc(b"", 1, t) for t in sorted(texts)]
+        for s in segments(spec, found):
+            order = np.argsort(s.doc, kind="stable")
+            out = []
+            for d, a in zip(s.doc[order].tolist(), s.anchor[order].tolist()):
+                out += body(spec, found[d], [(a, a + spec.gram)]) if not spec.words else []
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["lead"])
+
+    leads = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").mapInArrow(run, "lead binary").toArrow().column(0).to_pylist()
+    leads.sort()
+    return sorted({leads[len(leads) * i // parts] for i in range(1, parts)}) if leads else []
+
+
+def _send_records(spec: Spec, cuts: list[bytes] | None):
     def run(table: pa.Table, sets: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if table.num_rows and sets.num_rows:
@@ -304,10 +333,11 @@ def _send_records(spec: Spec):
                 doc, spans = docs[d[a]], list(zip(lo[a:b].tolist(), (hi[a:b] + spec.length).tolist()))
                 leads = [(x, x + spec.gram) for x in an[a:b].tolist()]
                 for i, (text, lead) in enumerate(zip(body(spec, doc, spans), body(spec, doc, leads)), a):
-                    rows.append((lead, int(an[i] - lo[i]), text, shelf, int(order[i]), bool(r.multi[order[i]])))
-        cols = list(zip(*rows)) if rows else [[]] * 6
-        types = [pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.bool_()]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("lead", "at", "body", "shelf", "no", "multi"), cols, types)})
+                    part = bisect_right(cuts, lead) if cuts is not None else hash_part(lead)
+                    rows.append((lead, int(an[i] - lo[i]), text, shelf, int(order[i]), bool(r.multi[order[i]]), part))
+        cols = list(zip(*rows)) if rows else [[]] * 7
+        types = [pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.int32()]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("lead", "at", "body", "shelf", "no", "multi", "part"), cols, types)})
 
     return run
 
@@ -415,9 +445,10 @@ def without_repeats(docs: DataFrame, spec: Spec, solver: Callable, result: Calla
     found = shelf().applyInArrow(_anchors(spec, shelves), BUCKET).groupBy("bucket").applyInArrow(_again(0, 1), RUNS)
     windows = shelf().cogroup(found.groupBy("shelf")).applyInArrow(_hot_windows(spec, shelves), BUCKET).groupBy("bucket").applyInArrow(_again(2, None), RUNS)
     sets = found.unionByName(windows)
-    sent = shelf().cogroup(sets.groupBy("shelf")).applyInArrow(_send_records(spec), RECORD)
-    dealt = sent.repartitionByRange(n, "lead") if by_range else sent.repartition(n, "lead")
-    runs = dealt.sortWithinPartitions("lead").mapInArrow(_solve(spec, solver), RUNS)
+    # parts are many more than tasks, so that their hashes fill the tasks evenly
+    cuts = splitters(docs, spec, total, 16 * n) if by_range else None
+    sent = shelf().cogroup(sets.groupBy("shelf")).applyInArrow(_send_records(spec, cuts), RECORD)
+    runs = sent.repartition(n, "part").sortWithinPartitions("part", "lead").mapInArrow(_solve(spec, solver), RUNS)
     names = [c.split()[0] for c in columns.split(", ")]
     done = shelf().cogroup(sets.unionByName(runs).groupBy("shelf")).applyInArrow(_finish(spec, names, result), f"key binary, {columns}")
     ids = docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))

@@ -1,8 +1,8 @@
 """Operator 2, suffix-array dedup: bytes in strings of 200 that start anywhere else.
 
 Suffixes are those that start at a window of a segment whose anchor occurs again (see ``repeats``; all
-other suffixes share no 200 bytes with any). Splitters sampled by Spark's range partitioner deal segments
-by the 32 leading bytes of the suffix at their anchor. A bucket sorts the suffixes of its segments by
+other suffixes share no 200 bytes with any). Splitters from a sample of the texts deal segments by the 32
+leading bytes of the suffix at their anchor. A bucket sorts the suffixes of its segments by
 multikey quicksort, eight bytes a key, and keeps the classes that are still equal at 200 bytes. Splitters
 lie between leading strings, and suffixes that agree in 200 bytes agree in their anchor's 32, so none
 agrees with one across a boundary; an anchor with very many segments is dealt as single windows, which
