@@ -110,3 +110,28 @@ def synthetic_parts(spark: SparkSession, n: int, duplicate_rate: float = 0.1, va
     df = spark.range(n).withColumn("u", u).withColumn("item", F.element_at(items, (F.col("id") % len(BASE_ITEMS) + 1).cast("int")))
     text = F.when(F.col("u") < duplicate_rate, F.col("item")).when(F.col("u") < duplicate_rate + variant_rate, F.concat("item", F.lit(" "), (F.col("id") % 9).cast("string"))).otherwise(F.concat("item", F.lit(" type "), F.col("id").cast("string")))
     return df.select(F.col("id").alias("record_id"), F.concat(F.lit("P-"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("part_no"), text.alias("description"), F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("contract"), F.lit("pcs").alias("unit_meas"))
+
+
+#: Scenarios of the scale corpus, in the order in which ids are dealt to them (fixed values).
+SCENARIOS = ["UNIQUE", "DUPLICATE", "GENERIC", "PROTECTED_CONFLICT", "CROSS_SITE", "MISSING_FIELDS", "BRIDGE", "HUB"]
+
+
+def scale_corpus(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
+    """n rows with their true group: eight scenarios in blocks of three rows, all derived from the id and the seed."""
+    block = F.floor(F.col("id") / 3)
+    k = F.pmod(F.xxhash64(F.lit(seed), block), F.lit(len(SCENARIOS)))
+    at = F.col("id") % 3
+    item = F.concat(F.element_at(F.array(*[F.lit(x) for x in BASE_ITEMS]), (F.pmod(F.xxhash64(F.lit(seed + 1), block), F.lit(len(BASE_ITEMS))) + 1).cast("int")), F.lit(" series "), block.cast("string"))
+    df = spark.range(n).withColumns({"scenario": F.element_at(F.array(*[F.lit(s) for s in SCENARIOS]), (k + 1).cast("int")), "item": item, "at": at, "block": block})
+    s = F.col("scenario")
+    text = (
+        F.when(s == "UNIQUE", F.concat("item", F.lit(" model "), F.col("id").cast("string"))).when(s == "GENERIC", F.lit("part"))
+        .when(s == "PROTECTED_CONFLICT", F.concat("item", F.lit(" "), (110 + 10 * F.col("at")).cast("string"), F.lit("V"))).when(s == "BRIDGE", F.concat("item", F.when(F.col("at") == 1, F.lit(" left right")).when(F.col("at") == 0, F.lit(" left")).otherwise(F.lit(" right"))))
+        .when(s == "HUB", F.lit("common hub bracket")).otherwise(F.col("item"))
+    )
+    same = s.isin("DUPLICATE", "CROSS_SITE", "MISSING_FIELDS")
+    return df.select(
+        F.col("id").alias("record_id"), F.when(~((s == "MISSING_FIELDS") & (F.col("at") == 1)), F.concat(F.lit("C-"), F.col("id").cast("string"))).alias("part_no"), text.alias("description"),
+        F.when(s == "CROSS_SITE", F.concat(F.lit("S"), F.col("at").cast("string"))).otherwise(F.lit("S0")).alias("contract"),
+        F.when(~((s == "MISSING_FIELDS") & (F.col("at") == 2)), F.lit("pcs")).alias("unit_meas"), "scenario", F.when(same, 3 * F.col("block")).otherwise(F.col("id")).alias("true_group"),
+    )
