@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import textkit as tk
 from .shared import partitions
 
-SHELF_BYTES, HOT = 4 << 20, 4096
+SHELF_BYTES, LEAST_SHELVES, HOT = 4 << 20, 64, 4096
 SHELF = "shelf int, key binary, n long, z binary"
 RECORD = "lead binary, at int, body binary, shelf int, no int, multi boolean, part int"
 RUNS = "shelf int, kind int, a binary"
@@ -439,11 +439,12 @@ def without_repeats(docs: DataFrame, spec: Spec, solver: Callable, result: Calla
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = partitions(spark)
-    shelves = max(2 * n, math.ceil(total / SHELF_BYTES))
+    shelves = max(LEAST_SHELVES, math.ceil(total / SHELF_BYTES))
+    buckets = max(LEAST_SHELVES // 4, shelves // 4)  # every shelf has a message for each, so not more than needed
     packed = pack(docs, shelves)
     shelf = lambda: packed.groupBy("shelf")
-    found = shelf().applyInArrow(_anchors(spec, shelves), BUCKET).groupBy("bucket").applyInArrow(_again(0, 1), RUNS)
-    windows = shelf().cogroup(found.groupBy("shelf")).applyInArrow(_hot_windows(spec, shelves), BUCKET).groupBy("bucket").applyInArrow(_again(2, None), RUNS)
+    found = shelf().applyInArrow(_anchors(spec, buckets), BUCKET).groupBy("bucket").applyInArrow(_again(0, 1), RUNS)
+    windows = shelf().cogroup(found.groupBy("shelf")).applyInArrow(_hot_windows(spec, buckets), BUCKET).groupBy("bucket").applyInArrow(_again(2, None), RUNS)
     sets = found.unionByName(windows)
     # parts are many more than tasks, so that their hashes fill the tasks evenly
     cuts = splitters(docs, spec, total, 16 * n) if by_range else None
