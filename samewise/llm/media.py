@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import textkit as tk
 from .shared import file_system, fresh, staged
 
-WIDTH, HEADER, LEVEL = 192, 33, 3
+WIDTH, HEADER, LEVEL = 192, 33, 6
 #: The signature that every PNG file begins with (fixed value).
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
