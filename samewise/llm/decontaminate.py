@@ -1,10 +1,10 @@
-"""Operator 1, benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Operator 1, benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters, digits and non-ASCII bytes, A-Z lowered; every text is used whole. Of each run
-of ``STRIDE`` successive n-grams of a test item, the one in fewest documents is a seed, so that a copy
-with ``n + STRIDE - 1`` unedited words in a row always has one, however often it leaked. Seeds join
-passages to items; each candidate passage is aligned word by word (match 1, mismatch and gap -0.5), and
-its score is divided by the item's length. A document is contaminated by an item from ``THRESHOLD`` on.
+Words are runs of letters, digits and non-ASCII bytes, A-Z lowered; every text is used whole. Every n-gram
+of a test item is a seed, so that a copy with ``n`` unedited words in a row always has one, however often
+it leaked; copies without these have none, nor have items of under ``n`` words. Seeds join passages to
+items; each candidate passage is aligned word by word (match 1, mismatch and gap -0.5), and its score is
+divided by the item's length. A document is contaminated by an item from ``THRESHOLD`` on.
 
 The items are a query set: they are read in blocks of at most ``BLOCK_BYTES`` of text, each of which is
 sent to the workers; documents never move. Null texts and texts without words match nothing; null ids
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textkit as tk
 
-NGRAM, STRIDE, THRESHOLD, BLOCK_BYTES = 3, 4, 0.4, 8 << 20
+NGRAM, THRESHOLD, BLOCK_BYTES, CELLS = 3, 0.4, 8 << 20, 1 << 15
 MISMATCH = GAP = 0.5
 _KEEP = np.arange(256, dtype=np.uint8)
 _KEEP[65:91] += 32
@@ -44,10 +44,11 @@ def word_values(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclass
 class Index:
-    """A block of items: their words, their n-grams, and which of those are seeds."""
+    """A block of items: their words and their n-grams, which are the seeds."""
 
     ids: list
     words: list[np.ndarray]
+    sorted_words: list[np.ndarray]
     grams: np.ndarray  # distinct n-gram hashes, sorted
     entry: np.ndarray  # for each n-gram of each item: its place in grams
     item: np.ndarray
@@ -66,12 +67,6 @@ class Index:
         same = self.grams[g] == h[pos]
         return pos[same], g[same]
 
-    def only(self, seeds: np.ndarray) -> Index:
-        """With the n-grams entries in seeds alone."""
-        entry, item, at = self.entry[seeds], self.item[seeds], self.at[seeds]
-        used, entry = np.unique(entry, return_inverse=True)
-        return Index(self.ids, self.words, self.grams[used], entry, item, at, self.n).ready()
-
     def ready(self) -> Index:
         self.order = np.argsort(self.entry, kind="stable")
         self.first = np.searchsorted(self.entry[self.order], np.arange(len(self.grams) + 1))
@@ -86,17 +81,14 @@ def build(ids: list, texts: list[str | None], n: int = NGRAM) -> Index:
     ws = [values[first[i] : first[i + 1]] for i in range(len(ids))]
     hs, items, ats = [], [], []
     for i, w in enumerate(ws):
-        k = min(n, len(w))  # an item of fewer words is one seed
-        g = tk.gram_hashes(w, k) if k else np.zeros(0, np.uint64)
-        if k < n:
-            g = g[:0]
+        g = tk.gram_hashes(w, n)
         hs.append(g)
         items.append(np.full(len(g), i))
         ats.append(np.arange(len(g)))
     h = np.concatenate([np.zeros(0, np.uint64), *hs])
     grams, entry = np.unique(h, return_inverse=True)
     z = np.zeros(0, np.int64)
-    return Index(ids, ws, grams, entry, np.concatenate([z, *items]), np.concatenate([z, *ats]), n).ready()
+    return Index(ids, ws, [np.unique(w) for w in ws], grams, entry, np.concatenate([z, *items]), np.concatenate([z, *ats]), n).ready()
 
 
 def _seen(index: Index, rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -109,33 +101,15 @@ def _seen(index: Index, rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return values, first, pos[ok], g[ok]
 
 
-def rare_seeds(docs: DataFrame, index: Index, stride: int = STRIDE) -> Index:
-    """The seeds of an index, by document frequency over all documents."""
-    size = len(index.grams)
-    if not size:
-        return index
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for _, data, offs in tk.slices(batches, "text"):
-            _, first, pos, g = _seen(index, (data, offs))
-            doc = np.searchsorted(first, pos, "right") - 1
-            both = np.unique(doc.astype(np.int64) * size + g)
-            np.add.at(total, both % size, 1)
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["g", "n"])
-
-    df = np.zeros(size, np.int64)
-    for r in docs.select("text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect():  # as many rows as the block has n-grams at most
-        df[r.g] = r.n
-    seeds: set[int] = set()
-    n_of = df[index.entry]
-    bounds = np.searchsorted(index.item, np.arange(len(index.ids) + 1))
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        for k in range(a, max(a + 1, b - stride + 1) if b > a else a):
-            part = n_of[k : min(b, k + stride)]
-            seeds.add(k + int(np.argmin(part)))
-    return index.only(np.array(sorted(seeds), np.int64))
+def runs(hit: np.ndarray, least: float, span: int) -> list[tuple[int, int]]:
+    """Maximal runs [first, end) of the windows of ``span`` words that have at least ``least`` hits."""
+    total = np.concatenate([[0], np.cumsum(hit)])
+    at = np.arange(max(1, len(hit) - span + 1))
+    at = at[total[np.minimum(at + span, len(hit))] - total[at] >= least]
+    if not len(at):
+        return []
+    cut = np.flatnonzero(np.diff(at) > span)
+    return list(zip(at[np.append(0, cut + 1)].tolist(), np.minimum(at[np.append(cut, len(at) - 1)] + span, len(hit)).tolist()))
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
@@ -162,6 +136,31 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     return best
 
 
+def scores(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The score of align() for each (item, passage): pairs of like length at once, ``CELLS`` words of items at most."""
+    out = np.zeros(len(pairs))
+    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
+    while order:
+        m = len(pairs[order[-1]][0])
+        part, order = order[-max(1, CELLS // m) :], order[: -max(1, CELLS // m)]
+        size = max(len(pairs[k][1]) for k in part)
+        item, real = np.zeros((m, len(part)), np.uint64), np.zeros((m, len(part)), bool)
+        passage, length = np.zeros((size, len(part)), np.uint64), np.array([len(pairs[k][1]) for k in part])
+        for c, k in enumerate(part):
+            item[: len(pairs[k][0]), c], real[: len(pairs[k][0]), c], passage[: len(pairs[k][1]), c] = pairs[k][0], True, pairs[k][1]
+        j = (np.arange(m + 1, dtype=np.float32) * np.float32(GAP))[:, None]
+        h, best = np.zeros((m + 1, len(part)), np.float32), np.zeros(len(part), np.float32)
+        for i in range(size):
+            same = (item == passage[i]) & real & (i < length)
+            t = np.zeros_like(h)
+            np.maximum(h[:-1] + np.where(same, np.float32(1), np.float32(-MISMATCH)), h[1:] - np.float32(GAP), out=t[1:])
+            np.maximum(t, 0, out=t)
+            h = np.maximum.accumulate(t + j, axis=0) - j
+            np.maximum(best, h.max(axis=0), out=best)
+        out[part] = best
+    return out
+
+
 def matches(index: Index, data: np.ndarray, offs: np.ndarray, threshold: float) -> list[tuple[int, int, float, int, int, int]]:
     """(row, item, score, seeds, first word, end word) for the pairs of a slice that reach the threshold."""
     values, first, pos, g = _seen(index, (data, offs))
@@ -174,7 +173,7 @@ def matches(index: Index, data: np.ndarray, offs: np.ndarray, threshold: float)
     item, start = index.item[e], pos[src] - index.at[e]
     order = np.lexsort((start, item, doc))
     out: dict[tuple[int, int], list] = {}
-    i = 0
+    i, near = 0, []
     doc, item, start = doc[order].tolist(), item[order].tolist(), start[order].tolist()
     while i < len(doc):
         d, it, w = doc[i], item[i], index.words[item[i]]
@@ -184,35 +183,41 @@ def matches(index: Index, data: np.ndarray, offs: np.ndarray, threshold: float)
             high = start[j]
             j += 1
         a, b = max(int(first[d]), start[i] - slack), min(int(first[d + 1]), high + m + slack)
-        passage = values[a:b]
-        if np.isin(w, passage).sum() >= threshold * m:  # no alignment can score more
-            score, s, t = align(w, passage)
-            if score / m >= threshold:
-                now = out.setdefault((d, it), [0.0, 0, 0, 0])
-                now[1] += j - i
-                if score / m > now[0]:
-                    now[0], now[2], now[3] = score / m, a + s - int(first[d]), a + t - int(first[d])
+        known, passage = index.sorted_words[it], values[a:b]
+        hit = known[np.minimum(np.searchsorted(known, passage), len(known) - 1)] == passage
+        # an alignment from the threshold on has so many words of the item, and gaps in it cost what is left of m
+        near += [(d, it, a + x, a + y, i, j) for x, y in runs(hit, threshold * m, math.ceil(m + (1 - threshold) * m / GAP))]
         i = j
+    best, last = scores([(index.words[it], values[a:b]) for _, it, a, b, _, _ in near]), -1
+    for (d, it, a, b, i, j), score in zip(near, best.tolist()):
+        m = len(index.words[it])
+        if score / m >= threshold:
+            now = out.setdefault((d, it), [0.0, 0, 0, 0])
+            now[1] += j - i if i != last else 0
+            last = i
+            if score / m > now[0]:
+                score, s, t = align(index.words[it], values[a:b])
+                now[0], now[2], now[3] = score / m, a + s - int(first[d]), a + t - int(first[d])
     return [(d, it, round(v[0], 6), v[1], v[2], v[3]) for (d, it), v in sorted(out.items())]
 
 
-def _blocks(docs: DataFrame, items: DataFrame, n: int, stride: int) -> Iterator[Index]:
+def _blocks(items: DataFrame, n: int) -> Iterator[Index]:
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
     items = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)))
     for k in range(blocks):
         rows = items.where(F.col("block") == k).select("item_id", "text").orderBy("item_id", "text").collect()
         if rows:
-            yield rare_seeds(docs, build([r.item_id for r in rows], [r.text for r in rows], n), stride)
+            yield build([r.item_id for r in rows], [r.text for r in rows], n)
 
 
-def contaminated_pairs(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, stride: int = STRIDE) -> DataFrame:
+def contaminated_pairs(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
     """A row for each (document, item) whose alignment reaches the threshold: ids, score, seeds met, words aligned."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     out = None
-    for index in _blocks(docs, items, n, stride):
+    for index in _blocks(items, n):
         sent = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -227,11 +232,11 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, threshold: float = THR
     return out if out is not None else spark.createDataFrame([], PAIRS)
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, stride: int = STRIDE) -> DataFrame:
+def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
     """The rows of docs that no item reaches, with all their columns."""
     spark, schema = docs.sparkSession, docs.schema
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    for index in _blocks(docs.select("text"), items, n, stride):
+    for index in _blocks(items, n):
         sent = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -64,3 +64,15 @@ def test_blocks_and_edges(spark, case, tricky, nothing, monkeypatch):
     assert D.contaminated_pairs(nothing, b).count() == 0
     assert D.clean_documents(tricky, none).columns == tricky.columns
     assert D.clean_documents(tricky, b).count() == tricky.count()
+
+
+@pytest.mark.parametrize("step", [4, 5, 6])
+def test_every_edited_copy_is_found(spark, step):
+    rng = random.Random(step)
+    v = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(v, k=40))) for i in range(20)]
+    docs = [(i, " ".join(rng.choices(v, k=60) + [x if (k + 1) % step else f"new{k}" for k, x in enumerate(t.split())] + rng.choices(v, k=60))) for i, t in items]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.contaminated_pairs(d, b).collect()}
+    assert got == {(i, i) for i, _ in items}
+    assert D.clean_documents(d, b).count() == 0
