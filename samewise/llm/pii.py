@@ -43,7 +43,10 @@ DIGITS = {
 _GLYPHS = dict(HOMOGLYPHS) | {chr(0xFF10 + i): str(i) for i in range(10)} | {chr(0xFF21 + i): chr(65 + i) for i in range(26)} | {chr(0xFF41 + i): chr(97 + i) for i in range(26)} | {chr(0x660 + i): str(i) for i in range(10)} | {chr(0x6F0 + i): str(i) for i in range(10)}
 _GLYPH = re.compile("[" + "".join(map(re.escape, _GLYPHS)) + "]")
 _NAMES = "|".join(DIGITS)
-_SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[ -])?(?:(?:{_NAMES})[ ,-]{{1,2}}){{6,}}(?:{_NAMES})(?![A-Za-z])", re.I)
+_SPELLED = re.compile(rf"(?<![A-Za-z@])(?:plus[ -](?=[0-9]{{1,4}}[ -]{{1,2}}(?:{_NAMES})(?![A-Za-z]))|(?:plus[ -])?(?:{_NAMES})(?:[ ,-]{{1,2}}(?:{_NAMES}))*(?![A-Za-z@]))", re.I)
+_BEFORE = re.compile(r"(?:[0-9.+][ ,().-]{0,2}| dot )\Z", re.I)
+_AFTER = re.compile(r"[ ,().-]{0,2}[0-9.]| dot ", re.I)
+_DIGIT_DOT = re.compile(r"(?<=[0-9]) dot (?=[0-9])", re.I)
 _NAME = re.compile(rf"plus|{_NAMES}", re.I)
 _BRACKET = re.compile(r"[ \t]{0,3}(?:\[[ ]?(at|dot)[ ]?\]|\([ ]?(at|dot)[ ]?\)|\{[ ]?(at|dot)[ ]?\}|<[ ]?(at|dot)[ ]?>|\[(@|\.)\]|\((@|\.)\))[ \t]{0,3}", re.I)
 _SPACED = re.compile(r"(?<=[A-Za-z0-9]) (at|AT|At) (?=[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6} (?:dot|DOT|Dot) [A-Za-z0-9])")
@@ -160,8 +163,10 @@ def deobfuscate(text: str) -> Rewriting:
         out.apply(sorted(set(edits)))
     if "@" in out.text and (" @" in out.text or "@ " in out.text):
         out.apply([(*m.span(), "@") for m in _SPREAD.finditer(out.text) if m[0] != "@"])
-    if "ne" in low or "ro" in low or "ve" in low:
-        out.apply([(*m.span(), _spelled(m)) for m in _SPELLED.finditer(out.text)])
+    now = out.text
+    out.apply([(*m.span(), s) for m in _SPELLED.finditer(now) if len(s := _spelled(m)) > 1 or s == "+" or _BEFORE.search(now, max(0, m.start() - 5), m.start()) or _AFTER.match(now, m.end())])
+    if " dot " in low:
+        out.apply([(*m.span(), ".") for m in _DIGIT_DOT.finditer(out.text)])
     return out
 
 

@@ -74,3 +74,15 @@ def test_frames(spark, tricky, nothing):
     assert out.columns == tricky.columns and out.count() == tricky.count()
     assert out.where("text is null").count() == 2
     assert pii.personal_data(nothing).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("call plus four four two two eight six four two six eight two ok", "phone", "plus four four two two eight six four two six eight two"),
+        ("ring +44 two zero seven nine four six 0958 now", "phone", "+44 two zero seven nine four six 0958"),
+        ("host one nine two dot one six eight dot one dot one up", "ip", "one nine two dot one six eight dot one dot one"),
+    ],
+)
+def test_spelled_digits(text, kind, span):
+    assert (kind, span) in [(k, text[s:e]) for s, e, k in pii.all_spans(text)[1]]
