@@ -69,9 +69,14 @@ def word_bucket(word: np.ndarray, buckets: int) -> np.ndarray:
     return (word >> np.uint64(44)).astype(np.int64) * buckets >> 20
 
 
+def bucket_kind(buckets: int) -> type:
+    """The least type that holds all bucket numbers; those of 16 bits are sorted fastest."""
+    return np.uint16 if buckets <= 1 << 16 else np.int32
+
+
 def _send(bucket: np.ndarray, arrays: list[np.ndarray], buckets: int, names: list[str]) -> pa.RecordBatch:
     """One row per bucket with the bytes of its part of each array."""
-    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    order = np.argsort(bucket.astype(bucket_kind(buckets)), kind="stable")
     cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
     full = np.flatnonzero(np.diff(cut))
     cols = [pa.array(full.astype(np.int32))]
@@ -264,7 +269,7 @@ class Model:
         n = self.meta["buckets"]
         bucket, h = bucket_of(u, v, n), pair_hash(u, v)
         order = np.argsort(h)
-        order = order[np.argsort(bucket[order].astype(np.uint16), kind="stable")]
+        order = order[np.argsort(bucket[order].astype(bucket_kind(n)), kind="stable")]
         cut = np.searchsorted(bucket[order], np.arange(n + 1))
         out = np.zeros(len(u), np.int64)
         for k in np.flatnonzero(np.diff(cut)).tolist():

@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +109,10 @@ def test_urls(spark, data):
             right[(r.block_probability > 0.5) == (r.verdict == "block")] += 1
     assert right[1] / sum(right) > 0.9  # the trees learn what the rules say
     assert urls.judged(pages.limit(0), queries.URL_RULES).count() == 0
+
+
+def test_blocks_of_many_buckets():
+    bucket = np.random.default_rng(3).integers(0, 70_000, 5000).astype(np.int32)
+    sent = lm._send(bucket, [bucket], 70_000, ["bucket", "a"]).to_pydict()
+    assert all((np.frombuffer(a, np.int32) == k).all() for k, a in zip(sent["bucket"], sent["a"]))
+    assert sorted(sent["bucket"]) == sorted(set(bucket.tolist()))
