@@ -304,7 +304,7 @@ def neighborhoods(spark, sf):
 def capped_selection(spark, sf):
     p = fusion.fuse(_channels(spark, sf)).withColumn("priority", F.round("priority", 4))
     tier = F.when(F.col("n_channels") > 1, "TIER_A").when(F.col("n_reciprocal") > 0, "TIER_B").otherwise("TIER_C")
-    return fusion.select_capped(p.select("id1", "id2", tier.alias("tier"), "priority", F.lit(50.0).alias("pair_specificity"), F.concat_ws(":", F.lit("pair"), "id1", "id2").alias("family")))
+    return fusion.select_capped(p.select("id1", "id2", tier.alias("tier"), "priority", F.lit(50.0).alias("pair_specificity"), F.concat_ws(":", F.lit("pair"), "id1", "id2").alias("family")), records=_t(spark, sf, "embeddings").count())
 
 
 def _edges(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -73,13 +74,21 @@ def with_penalties(fused: DataFrame, rows: DataFrame, specificity: DataFrame) ->
     return df.withColumn("tier", tier).withColumn("family", family).select("id1", "id2", "channels", "priority", "pair_specificity", "pair_penalty", "conflict", "uom", "tier", "family")
 
 
-def select_capped(proposals: DataFrame, per_record: int = 10, per_family: int = 25, per_tier: tuple[int, int, int] = (250, 200, 50), total: int = 500) -> DataFrame:
+def scaled_caps(records: int, per_tier: tuple[int, int, int], total: int, pairs_per_record: float = 3) -> tuple[tuple[int, ...], int]:
+    """The tier caps and the total for a table of so many records: the given ones at least, and all in proportion."""
+    scaled = max(total, math.ceil(records * pairs_per_record))
+    return tuple(math.ceil(cap * (scaled / total)) for cap in per_tier), scaled
+
+
+def select_capped(proposals: DataFrame, per_record: int = 10, per_family: int = 25, per_tier: tuple[int, int, int] = (250, 200, 50), total: int = 500, records: int = 0) -> DataFrame:
     """The pairs that a walk by tier, priority and ids takes under the caps, with their place.
 
     The walk depends on all pairs taken before, so one task does it, but over a bounded stream: a pair that
     is not among the first ``per_record`` * 2 + ... of its records can still be taken, so all pairs pass it
-    in order, while it holds counters only for the at most ``total`` pairs taken.
+    in order, while it holds counters only for the at most ``total`` pairs taken. With ``records``, the caps
+    of tiers and in all grow with them; they are the least.
     """
+    per_tier, total = scaled_caps(records, per_tier, total)
     order = [F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col("tier")), F.col("priority").desc(), F.col("pair_specificity").desc(), F.col("id1"), F.col("id2")]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -208,3 +208,10 @@ def test_catalog(spark):
     rows = tables.catalog(df, "id").collect()
     assert [(r.record_id, r.extra_fields) for r in rows] == [(1, {"COLOUR": "x"})]
     assert tables.synthetic_parts(spark, 50).count() == 50
+
+
+def test_caps_grow_with_the_records(spark):
+    assert fusion.scaled_caps(100, (250, 200, 50), 500) == ((250, 200, 50), 500)
+    assert fusion.scaled_caps(100_000, (250, 200, 50), 500) == ((150_000, 120_000, 30_000), 300_000)
+    p = spark.range(2000).selectExpr("id * 2 as id1", "id * 2 + 1 as id2", "'TIER_A' as tier", "50.0D as priority", "50.0D as pair_specificity", "cast(id as string) as family")
+    assert fusion.select_capped(p).count() == 250 and fusion.select_capped(p, records=4000).count() == 2000
