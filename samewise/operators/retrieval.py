@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as X
+from ..storage import staged
 
 
 def specificity(rows: DataFrame) -> DataFrame:
@@ -50,6 +51,16 @@ def top_k(scored: DataFrame, k: int, digits: int = 9) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def completed(found: DataFrame, ids: DataFrame, k: int, exact) -> DataFrame:
+    """found, but for the ids with under k rows there the rows of exact(those ids)."""
+    found = staged(found, "neighbours")
+    full = found.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("src")
+    short = staged(ids.select(F.col(ids.columns[0]).alias("src")).distinct().join(full, "src", "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    return found.join(full, "src", "left_semi").select(*found.columns).unionByName(exact(short).select(*found.columns))
+
+
 def lexical_top_k(index: DataFrame, k: int) -> DataFrame:
     """Exact cosine top-k through the shared grams of an inverted index."""
     a, b = index.select("gram", F.col("record_id").alias("src"), F.col("weight").alias("wa")), index.select("gram", F.col("record_id").alias("dst"), F.col("weight").alias("wb"))
@@ -57,14 +68,16 @@ def lexical_top_k(index: DataFrame, k: int) -> DataFrame:
 
 
 def lexical_top_k_bounded(index: DataFrame, k: int, rarest: int = 32, pool: int = 80) -> DataFrame:
-    """Candidates through each record's rarest grams, the best ``pool`` by partial score, reranked exactly."""
+    """Candidates through each record's rarest grams, the best ``pool`` by partial score, reranked exactly; records with fewer than k get the exact top-k."""
     df = index.groupBy("gram").agg(F.count("*").alias("df"))
     rare = index.join(df, "gram").withColumn("rn", F.row_number().over(Window.partitionBy("record_id").orderBy("df", F.col("weight").desc(), "gram"))).where(F.col("rn") <= rarest)
     a = rare.select("gram", F.col("record_id").alias("src"), F.col("weight").alias("wa"))
     b = index.select("gram", F.col("record_id").alias("dst"), F.col("weight").alias("wb"))
     part = top_k(a.join(b, "gram").where("src != dst").groupBy("src", "dst").agg(F.sum(F.col("wa") * F.col("wb")).alias("score")), pool).select("src", "dst")
     full = part.join(index.select(F.col("record_id").alias("src"), "gram", F.col("weight").alias("wa")), "src").join(b, ["dst", "gram"])
-    return top_k(full.groupBy("src", "dst").agg(F.sum(F.col("wa") * F.col("wb")).alias("score")), k)
+    found = top_k(full.groupBy("src", "dst").agg(F.sum(F.col("wa") * F.col("wb")).alias("score")), k)
+    every = index.select("gram", F.col("record_id").alias("src"), F.col("weight").alias("wa"))
+    return completed(found, index.select("record_id"), k, lambda short: top_k(every.join(short, "src").join(b, "gram").where("src != dst").groupBy("src", "dst").agg(F.sum(F.col("wa") * F.col("wb")).alias("score")), k))
 
 
 def _unit(v: pd.Series) -> np.ndarray:
@@ -73,22 +86,23 @@ def _unit(v: pd.Series) -> np.ndarray:
     return m / np.where(size > 0, size, 1)
 
 
-def vector_top_k(vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
+def vector_top_k(vectors: DataFrame, k: int, block: int = 2048, of: DataFrame | None = None) -> DataFrame:
     """Exact cosine top-k of vectors(id, v): the queries go to the rows in blocks, each block's matrix at a time.
 
     Every block sees all rows; a task keeps its k best per query, and the window merges them. Work grows with
-    the square of the rows, so ``lsh_top_k`` is for large tables.
+    the square of the rows, so ``lsh_top_k`` is for large tables. With of(id), only these ids are queries.
     """
     rows = vectors.where("v is not null").select("id", "v")
-    n = rows.count()
+    asked = rows if of is None else rows.join(of, "id", "left_semi")
+    n = asked.count()
     spark = vectors.sparkSession
     parts = -(-n // block)
     # quantiles within a quarter of a block: no block is larger than one and a half
-    cuts = sorted({int(x) for x in rows.approxQuantile("id", [i / parts for i in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
+    cuts = sorted({int(x) for x in asked.approxQuantile("id", [i / parts for i in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
     bounds = [None, *cuts]
     out = None
     for i, low in enumerate(bounds):
-        part = rows if low is None else rows.where(F.col("id") >= low)
+        part = asked if low is None else asked.where(F.col("id") >= low)
         if i + 1 < len(bounds):
             part = part.where(F.col("id") < bounds[i + 1])
         got = part.toPandas()  # one block of queries
@@ -140,8 +154,8 @@ def probes(bits: int, radius: int) -> list[int]:
     return out + ([a | b for i, a in enumerate(one) for b in one[:i]] if radius > 1 else [])
 
 
-def lsh_top_k(vectors: DataFrame, k: int, tables: int = 8, bits: int = 12, radius: int = 1) -> DataFrame:
-    """Top-k among the rows whose code lies within ``radius`` bits in some table, ranked by exact cosine."""
+def lsh_top_k(vectors: DataFrame, k: int, tables: int = 32, bits: int = 12, radius: int = 2) -> DataFrame:
+    """Top-k among the rows whose code lies within ``radius`` bits in some table, ranked by exact cosine; rows with fewer than k get the exact top-k."""
     codes = lsh_codes(vectors, tables, bits)
     probe = codes.select(F.col("id").alias("src"), "tbl", F.explode(F.array(*[F.col("code").bitwiseXOR(F.lit(m)) for m in probes(bits, radius)])).alias("code"))
     near = probe.join(codes.select(F.col("id").alias("dst"), "tbl", "code"), ["tbl", "code"]).where("src != dst").select("src", "dst").distinct()
@@ -149,7 +163,8 @@ def lsh_top_k(vectors: DataFrame, k: int, tables: int = 8, bits: int = 12, radiu
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     full = near.join(v.select(F.col("id").alias("src"), F.col("v").alias("a")), "src").join(v.select(F.col("id").alias("dst"), F.col("v").alias("b")), "dst")
     size = F.sqrt(dot(F.col("a"), F.col("a")) * dot(F.col("b"), F.col("b")))
-    return top_k(full.select("src", "dst", F.when(size > 0, dot(F.col("a"), F.col("b")) / size).otherwise(0.0).alias("score")), k)
+    found = top_k(full.select("src", "dst", F.when(size > 0, dot(F.col("a"), F.col("b")) / size).otherwise(0.0).alias("score")), k)
+    return completed(found, vectors.where("v is not null").select("id"), k, lambda short: vector_top_k(vectors, k, of=short.select(F.col("src").alias("id"))))
 
 
 def undirected(directed: DataFrame) -> DataFrame:

@@ -210,6 +210,24 @@ def test_catalog(spark):
     assert tables.synthetic_parts(spark, 50).count() == 50
 
 
+def test_lsh_recall_of_the_query(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(600, 64))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    want = {(r.src, r.dst) for r in retrieval.vector_top_k(df, 5).collect()}
+    got = {(r.src, r.dst) for r in retrieval.lsh_top_k(df, 5).collect()}
+    assert len(got & want) / len(want) >= 0.9
+
+
+def test_short_anchors_are_completed(spark):
+    v = np.vstack([np.eye(64)[:6], -np.eye(64)[:1]])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    want = {(r.src, r.dst) for r in retrieval.vector_top_k(df, 5).collect()}
+    assert {(r.src, r.dst) for r in retrieval.lsh_top_k(df, 5, tables=1, bits=12, radius=0).collect()} == want
+    index = retrieval.tfidf_index(spark.createDataFrame([(i, f"valve {chr(97 + i) * 30}") for i in range(8)], "record_id long, norm string"))
+    assert {(r.src, r.dst) for r in retrieval.lexical_top_k_bounded(index, 5, rarest=2).collect()} == {(r.src, r.dst) for r in retrieval.lexical_top_k(index, 5).collect()}
+
+
 def test_caps_grow_with_the_records(spark):
     assert fusion.scaled_caps(100, (250, 200, 50), 500) == ((250, 200, 50), 500)
     assert fusion.scaled_caps(100_000, (250, 200, 50), 500) == ((150_000, 120_000, 30_000), 300_000)
