@@ -154,17 +154,21 @@ def read_ranges(places: DataFrame, folder: str, whole: bool) -> DataFrame:
 
 
 def media_table(docs: DataFrame, folder: str | None = None, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame, str]:
-    """(rows with digest, shard, start, length; one row per digest with its place; the folder of shards)."""
+    """(rows with digest, shard, start, length and the metadata columns of header reads; one row per digest with its place; the folder of shards)."""
     folder = folder or fresh(docs.sparkSession, "media")
     index = staged(write_shards(docs, folder, WIDTH, text, doc_id), "media-index")
     places = content_table(index)
-    rows = index.select("doc_id", "n_bytes", "digest").join(places, "digest")
-    return rows.select("doc_id", "n_bytes", "digest", "shard", "start", "length"), places, folder
+    rows = index.select("doc_id", "n_bytes", "digest").join(places, "digest").join(read_ranges(_dealt(places), folder, False), "digest")
+    return rows.select("doc_id", "n_bytes", "digest", "shard", "start", "length", "width", "height", "bits"), places, folder
+
+
+def _dealt(places: DataFrame) -> DataFrame:
+    """In order of shards and places, for reads."""
+    parts = max(1, places.sparkSession.sparkContext.defaultParallelism)
+    return places.repartitionByRange(max(parts, int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard", "start").sortWithinPartitions("shard", "start")
 
 
 def media_features(docs: DataFrame, folder: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Every row of docs with the columns read back from its stored payload."""
+    """Every row of docs with its metadata, and the features read back from its whole stored payload."""
     rows, places, folder = media_table(docs, folder, text, doc_id)
-    parts = max(1, places.sparkSession.sparkContext.defaultParallelism)
-    ordered = places.repartitionByRange(max(parts, int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard", "start").sortWithinPartitions("shard", "start")
-    return rows.join(read_ranges(ordered, folder, True), "digest")
+    return rows.join(read_ranges(_dealt(places), folder, True).drop("width", "height", "bits"), "digest")

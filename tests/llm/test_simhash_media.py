@@ -110,3 +110,10 @@ def test_shards_are_tar_files(spark, tricky):
     assert places.count() == rows.select("digest").distinct().count()
     heads = media.read_ranges(places, folder, whole=False)
     assert heads.columns == ["digest", "width", "height", "bits"] and heads.where("width != 192").count() == 0
+
+
+def test_metadata_come_from_headers(spark, tricky):
+    rows, _, _ = media.media_table(tricky)
+    got = {r.doc_id: (r.width, r.height, r.bits) for r in rows.collect()}
+    whole = {r.doc_id: (r.width, r.height, r.bits) for r in media.media_features(tricky).collect()}
+    assert got == whole and rows.count() == tricky.count()
