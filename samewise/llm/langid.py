@@ -91,8 +91,9 @@ class Model:
 def sample(labelled: DataFrame) -> DataFrame:
     """(lang, ids, counts): the bounded training sample of labelled(text, lang) as sparse bags."""
     rows = labelled.where("lang is not null and text is not null")
-    counts = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
-    # the hash alone leaves a few times as many rows as are wanted, before any row moves; equal texts count once
+    texts = rows.groupBy("lang", F.xxhash64("text").alias("h")).count()
+    counts = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.sum("count").alias("rows"), F.count("*").alias("n")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()}
+    # the hash alone leaves a few times as many different texts as are wanted, before any text moves
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(4 * PER_LANGUAGE / n)).otherwise(share)

@@ -111,6 +111,11 @@ def test_urls(spark, data):
     assert urls.judged(pages.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_sample_counts_different_texts(spark):
+    rows = spark.range(60_000).selectExpr("'en' as lang", "case when id < 300 then concat('text ', id) else 'the same text' end as text")
+    assert langid.sample(rows).count() == 301
+
+
 def test_blocks_of_many_buckets():
     bucket = np.random.default_rng(3).integers(0, 70_000, 5000).astype(np.int32)
     sent = lm._send(bucket, [bucket], 70_000, ["bucket", "a"]).to_pydict()
