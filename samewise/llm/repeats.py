@@ -9,10 +9,12 @@ windows with one anchor form a segment. So equal windows lie in segments with eq
 2. anchors with over ``HOT`` different segments are taken apart into windows, by the same exchange;
 3. shelves send each distinct segment whose anchor occurs again, once, as a record;
 4. a solver (of each operator) groups records by anchor and finds the windows that occur again, exactly;
-5. shelves mark the tokens those windows cover and give the result of each distinct text.
+5. shelves find (each operator in its way) the tokens those windows cover and give the result of each text.
 
 A shelf sends an anchor, window or record once however often it has it, so no group of copies meets in
-one task. Texts move compressed and once; all else is packed hashes.
+one task. Texts move compressed and once; all else is packed hashes. Hashes only choose what is compared:
+places of a shelf are one record if their bytes are equal, and solvers compare bytes or words. Texts are
+known by the first 128 bits of their SHA-256. For words, shelves hold texts with one space between words.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import textkit as tk
 from .shared import partitions
 
-SHELF_BYTES, LEAST_SHELVES, HOT = 4 << 20, 64, 4096
+SHELF_BYTES, LEAST_SHELVES, HOT, KEY_BYTES, PIECE = 4 << 20, 64, 4096, 16, 4096
 SHELF = "shelf int, key binary, n long, z binary"
 RECORD = "lead binary, at int, body binary, shelf int, no int, multi boolean, part int"
 RUNS = "shelf int, kind int, a binary"
@@ -65,7 +67,7 @@ def pack(docs: DataFrame, shelves: int) -> DataFrame:
         for _, data, offs in tk.slices(batches, "text"):
             raw, o, rows = data.tobytes(), offs.tolist(), []
             for a, b in zip(o, o[1:]):
-                key = hashlib.md5(raw[a:b]).digest()
+                key = hashlib.sha256(raw[a:b]).digest()[:KEY_BYTES]
                 if key in more:
                     more[key] += 1
                 else:
@@ -78,15 +80,15 @@ def pack(docs: DataFrame, shelves: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, SHELF)
 
 
-def unpack(table: pa.Table) -> list[Doc]:
-    """The distinct texts of a shelf, by key."""
+def unpack(spec: Spec, table: pa.Table) -> list[Doc]:
+    """The distinct texts of a shelf, by key; for words, with one space between them."""
     found: dict[bytes, Doc] = {}
     plain = zstandard.ZstdDecompressor()
     for key, n, z in zip(*(table.column(c).to_pylist() for c in ("key", "n", "z"))):
         doc = found.setdefault(key, Doc(key, 0, b""))
         doc.n += n
         if z and not doc.text:
-            doc.text = plain.decompress(z)
+            doc.text = b" ".join(plain.decompress(z).split()) if spec.words else plain.decompress(z)
     return [found[k] for k in sorted(found)]
 
 
@@ -103,7 +105,7 @@ def _runs(docs: list[Doc]) -> Iterator[tuple[int, list[Doc]]]:
 
 @dataclass
 class Segments:
-    """Of some texts: text number, first and last window and anchor (tokens from the text's start), hashes."""
+    """Of some texts: text number, first and last window and anchor (tokens from the text's start), hashes, bytes."""
 
     doc: np.ndarray
     lo: np.ndarray
@@ -111,7 +113,14 @@ class Segments:
     anchor: np.ndarray
     h: np.ndarray
     sid: np.ndarray
-    windows: np.ndarray | None = None  # hash of the windows of hot anchors, one segment each
+    begin: np.ndarray  # of its bytes, from the text's start
+    end: np.ndarray
+
+    def __getitem__(self, pick: np.ndarray) -> Segments:
+        return Segments(*(getattr(self, f)[pick] for f in _FIELDS))
+
+
+_FIELDS = ("doc", "lo", "hi", "anchor", "h", "sid", "begin", "end")
 
 
 def segments(spec: Spec, docs: list[Doc], hot: np.ndarray | None = None) -> Iterator[Segments]:
@@ -148,7 +157,8 @@ def segments(spec: Spec, docs: list[Doc], hot: np.ndarray | None = None) -> Iter
             hi, a, h = lo, lo, np.repeat(h, n)
         d = np.searchsorted(first, lo, "right") - 1
         # equal starts follow empty texts: the last of them owns the window
-        yield Segments(base + d, lo - first[d], hi - first[d], a - first[d], h, tk.spans_hash(pre, lo, hi + L, chain))
+        begin, end = (starts[lo] - offs[d], ends[hi + L - 1] - offs[d]) if spec.words else (lo - first[d], hi + L - first[d])
+        yield Segments(base + d, lo - first[d], hi - first[d], a - first[d], h, tk.spans_hash(pre, lo, hi + L, chain), begin, end)
 
 
 def member(x: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -235,28 +245,43 @@ def records(spec: Spec, docs: list[Doc], sets: pa.Table) -> Records:
     anchors, hot, windows = _sets(sets, 0), _sets(sets, 1), _sets(sets, 2)
     parts: list[Segments] = []
     if len(anchors):
-        for s in segments(spec, docs):
-            k = member(s.h, anchors)
-            parts.append(Segments(s.doc[k], s.lo[k], s.hi[k], s.anchor[k], s.h[k], s.sid[k]))
+        parts += [x[member(x.h, anchors)] for x in segments(spec, docs)]
     if len(hot) and len(windows):
-        for s in segments(spec, docs, hot):
-            k = member(s.sid, windows)
-            parts.append(Segments(s.doc[k], s.lo[k], s.hi[k], s.anchor[k], s.h[k], s.sid[k]))
+        parts += [x[member(x.sid, windows)] for x in segments(spec, docs, hot)]
     z = np.zeros(0, np.int64)
-    doc, lo, hi, anchor = (np.concatenate([z, *(getattr(s, f) for s in parts)]) for f in ("doc", "lo", "hi", "anchor"))
-    h, sid = (np.concatenate([np.zeros(0, np.uint64), *(getattr(s, f) for s in parts)]) for f in ("h", "sid"))
-    order = np.lexsort((lo, doc, sid, h))
-    new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (sid[order][1:] != sid[order][:-1])]) if len(h) else np.zeros(0, bool)
-    of = np.empty(len(h), np.int64)
-    of[order] = np.cumsum(new) - 1
-    first = order[new]
-    multi = np.bincount(of, _weights(docs)[doc] if len(doc) else None, minlength=len(first)) > 1
-    return Records(of, doc, lo, first, multi, hi, anchor)
+    g = Segments(*(np.concatenate([z.view(np.uint64) if f in ("h", "sid") else z, *(getattr(x, f) for x in parts)]) for f in _FIELDS))
+    n = len(g.h)
+    order = np.lexsort((g.lo, g.doc, g.sid, g.h))
+    h, sid = g.h[order], g.sid[order]
+    of = np.empty(n, np.int64)
+    of[order] = np.cumsum(np.concatenate([[True], (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])])) - 1 if n else 0
+    of = _compared(docs, g, of, order)
+    _, at = np.unique(of[order], return_index=True)
+    first = order[at]
+    multi = np.bincount(of, _weights(docs)[g.doc] if n else None, minlength=len(first)) > 1
+    return Records(of, g.doc, g.lo, first, multi, g.hi, g.anchor)
+
+
+def _compared(docs: list[Doc], g: Segments, of: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """of, where places of one number have equal bytes: those that differ from the first are numbered apart."""
+    now = of[order]
+    again = np.flatnonzero(np.concatenate([[False], now[1:] == now[:-1]])) if len(now) else now
+    if not len(again):
+        return of
+    firsts = np.searchsorted(now, now[again])
+    doc, begin, end = g.doc[order].tolist(), g.begin[order].tolist(), g.end[order].tolist()
+    text = lambda i: docs[doc[i]].text[begin[i] : end[i]]
+    if all(text(i) == text(j) for i, j in zip(again.tolist(), firsts.tolist())):
+        return of
+    seen: dict[tuple[int, bytes], int] = {}
+    out = np.empty_like(of)
+    out[order] = [seen.setdefault((k, text(i)), len(seen)) for i, k in enumerate(now.tolist())]
+    return out
 
 
 def _anchors(spec: Spec, buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        docs = unpack(table)
+        docs = unpack(spec, table)
         w = _weights(docs)
         h, sid, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for s in segments(spec, docs):
@@ -273,7 +298,7 @@ def _hot_windows(spec: Spec, buckets: int):
         hot = _sets(sets, 1) if sets.num_rows else np.zeros(0, np.uint64)
         h, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         if len(hot) and table.num_rows:
-            docs = unpack(table)
+            docs = unpack(spec, table)
             w = _weights(docs)
             for s in segments(spec, docs, hot):
                 h.append(s.sid)
@@ -297,9 +322,10 @@ def body(spec: Spec, doc: Doc, spans: list[tuple[int, int]]) -> list[bytes]:
 
 
 def splitters(docs: DataFrame, spec: Spec, total: int, parts: int) -> list[bytes]:
-    """Leading tokens that cut all segments' into about equal parts, from the segments of a sample of about SHELF_BYTES of text.
+    """Leading tokens that cut all segments' into about equal parts, from a sample of about SHELF_BYTES of text.
 
-    The sample only balances the parts: every record is dealt by its own leading tokens.
+    The sample is of pieces of texts, chosen by a hash of text and place, so long texts have their share. It
+    only balances the parts: every record is dealt by its own leading tokens.
     """
     every = max(1, total // SHELF_BYTES)
 
@@ -307,13 +333,14 @@ def splitters(docs: DataFrame, spec: Spec, total: int, parts: int) -> list[bytes
         texts = {t.as_py().encode() for batch in batches for t in batch.column(0)}
         found = [Doc(b"", 1, t) for t in sorted(texts)]
         for s in segments(spec, found):
-            order = np.argsort(s.doc, kind="stable")
-            out = []
-            for d, a in zip(s.doc[order].tolist(), s.anchor[order].tolist()):
-                out += body(spec, found[d], [(a, a + spec.gram)]) if not spec.words else []
+            out = [found[d].text[a : a + spec.gram] for d, a in zip(s.doc.tolist(), s.anchor.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["lead"])
 
-    leads = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").mapInArrow(run, "lead binary").toArrow().column(0).to_pylist()
+    places = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int"))
+    some = docs.where("text != ''").select("text", F.xxhash64("text").alias("h"))
+    some = some.select("text", F.explode(F.filter(places, lambda i: F.pmod(F.xxhash64("h", i), F.lit(every)) == 0)).alias("i"))
+    pieces = some.select(F.substring("text", F.col("i") * PIECE + 1, F.lit(PIECE)).alias("text"))
+    leads = pieces.mapInArrow(run, "lead binary").toArrow().column(0).to_pylist()
     leads.sort()
     return sorted({leads[len(leads) * i // parts] for i in range(1, parts)}) if leads else []
 
@@ -322,7 +349,7 @@ def _send_records(spec: Spec, cuts: list[bytes] | None):
     def run(table: pa.Table, sets: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if table.num_rows and sets.num_rows:
-            docs = unpack(table)
+            docs = unpack(spec, table)
             shelf = table.column("shelf")[0].as_py()
             r = records(spec, docs, sets)
             order = np.argsort(r.doc[r.first], kind="stable")
@@ -397,27 +424,33 @@ def _solve(spec: Spec, solver: Callable, block: int = 8 << 20):
     return run
 
 
-def _finish(spec: Spec, names: list[str], result: Callable):
+def run_rows(sets: pa.Table) -> np.ndarray:
+    """(record, first, last window) of the runs that solvers sent back, by record."""
+    blobs = [a for k, a in zip(sets.column("kind").to_pylist(), sets.column("a").to_pylist()) if k == 3]
+    runs = np.frombuffer(b"".join(blobs), np.int32).reshape(-1, 3).astype(np.int64)
+    return runs[np.argsort(runs[:, 0], kind="stable")]
+
+
+def places(spec: Spec, docs: list[Doc], r: Records, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first token, end) of every place of every run."""
+    start = np.searchsorted(runs[:, 0], np.arange(len(r.first) + 1))
+    n = (start[1:] - start[:-1])[r.of]
+    place = np.repeat(np.arange(len(r.of)), n)
+    run = np.repeat(start[r.of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return r.doc[place], r.lo[place] + runs[run, 1], r.lo[place] + runs[run, 2] + spec.length
+
+
+def _finish(spec: Spec, names: list[str], result: Callable, locator: Callable):
     def run(table: pa.Table, sets: pa.Table) -> pa.Table:
-        docs = unpack(table) if table.num_rows else []
-        r = records(spec, docs, sets) if docs else None
-        marks: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in docs]
-        if r is not None and len(r.of):
-            runs = np.frombuffer(b"".join(a for k, a in zip(sets.column("kind").to_pylist(), sets.column("a").to_pylist()) if k == 3), np.int32).reshape(-1, 3).astype(np.int64)
-            runs = runs[np.argsort(runs[:, 0], kind="stable")]
-            start = np.searchsorted(runs[:, 0], np.arange(len(r.first) + 1))
-            n = (start[1:] - start[:-1])[r.of]
-            place = np.repeat(np.arange(len(r.of)), n)
-            run_ = np.repeat(start[r.of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            a, b, d = r.lo[place] + runs[run_, 1], r.lo[place] + runs[run_, 2] + spec.length, r.doc[place]
+        docs = unpack(spec, table) if table.num_rows else []
+        runs = run_rows(sets)
+        d = a = b = np.zeros(0, np.int64)
+        if docs and len(runs):
+            d, a, b = locator(spec, docs, records(spec, docs, sets), runs)
             order = np.argsort(d, kind="stable")
-            a, b, d = a[order], b[order], d[order]
-            cut = np.searchsorted(d, np.arange(len(docs) + 1))
-            for i in np.flatnonzero(np.diff(cut)).tolist():
-                marks[i].append((a[cut[i] : cut[i + 1]], b[cut[i] : cut[i + 1]]))
-        rows = []
-        for doc, m in zip(docs, marks):
-            rows.append((doc.key, *result(doc.text, np.concatenate([x for x, _ in m]) if m else None, np.concatenate([y for _, y in m]) if m else None)))
+            d, a, b = d[order], a[order], b[order]
+        cut = np.searchsorted(d, np.arange(len(docs) + 1)).tolist()
+        rows = [(doc.key, *result(doc.text, *((a[x:y], b[x:y]) if x < y else (None, None)))) for doc, x, y in zip(docs, cut, cut[1:])]
         cols = list(zip(*rows)) if rows else [[]] * (1 + len(names))
         return pa.table({n: pa.array(c, t) for n, c, t in zip(["key", *names], cols, [pa.binary(), *(pa.string() if x.endswith("sha256") or x == "kept" else pa.int64() for x in names)])})
 
@@ -433,8 +466,11 @@ def covered(n: int, starts: np.ndarray | None, ends: np.ndarray | None) -> np.nd
     return np.cumsum(step[:-1]) > 0
 
 
-def without_repeats(docs: DataFrame, spec: Spec, solver: Callable, result: Callable, columns: str, by_range: bool) -> DataFrame:
-    """docs(doc_id, text) with what result(text, starts, ends of repeated spans) gives for each text."""
+def without_repeats(docs: DataFrame, spec: Spec, solver: Callable, result: Callable, columns: str, by_range: bool, locator: Callable = places) -> DataFrame:
+    """docs(doc_id, text) with what result(text, starts, ends of repeated spans) gives for each text.
+
+    locator(spec, texts, records, runs) gives (text, first token, end) of what is repeated in a shelf's texts.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -451,6 +487,6 @@ def without_repeats(docs: DataFrame, spec: Spec, solver: Callable, result: Calla
     sent = shelf().cogroup(sets.groupBy("shelf")).applyInArrow(_send_records(spec, cuts), RECORD)
     runs = sent.repartition(n, "part").sortWithinPartitions("part", "lead").mapInArrow(_solve(spec, solver), RUNS)
     names = [c.split()[0] for c in columns.split(", ")]
-    done = shelf().cogroup(sets.unionByName(runs).groupBy("shelf")).applyInArrow(_finish(spec, names, result), f"key binary, {columns}")
-    ids = docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
+    done = shelf().cogroup(sets.unionByName(runs).groupBy("shelf")).applyInArrow(_finish(spec, names, result, locator), f"key binary, {columns}")
+    ids = docs.select("doc_id", F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 2 * KEY_BYTES)).alias("key"))
     return ids.join(done, "key").select("doc_id", *names)

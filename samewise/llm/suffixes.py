@@ -2,11 +2,12 @@
 
 Suffixes are those that start at a window of a segment whose anchor occurs again (see ``repeats``; all
 other suffixes share no 200 bytes with any). Splitters from a sample of the texts deal segments by the 32
-leading bytes of the suffix at their anchor. A bucket sorts the suffixes of its segments by
-multikey quicksort, eight bytes a key, and keeps the classes that are still equal at 200 bytes. Splitters
-lie between leading strings, and suffixes that agree in 200 bytes agree in their anchor's 32, so none
-agrees with one across a boundary; an anchor with very many segments is dealt as single windows, which
-lead with their own first bytes.
+leading bytes of the suffix at their anchor. A bucket sorts all suffixes of its segments by multikey
+quicksort, eight bytes a key, and compares each with its neighbours in that order: classes are those that
+are equal at 200 bytes. Splitters lie between leading strings, and suffixes that agree in 200 bytes agree
+in their anchor's 32, so none agrees with one across a boundary of buckets; a bucket too large for memory
+is sorted in pieces, cut only where neighbouring leading strings differ. An anchor with very many segments
+is dealt as single windows, which lead with their own first bytes.
 
 Strings are judged on the input. Null texts are empty; texts under 200 bytes keep everything. Repeated
 rows are copies of each other. Equal texts have equal results. An empty table gives an empty result;
@@ -69,8 +70,7 @@ def solve(bodies: list[bytes], at: np.ndarray, group: np.ndarray, often: np.ndar
     n = size[pick] - length + 1
     rec = np.repeat(np.arange(len(pick)), n)
     offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    # windows that are equal stand equally far before their anchor
-    cls = multikey_classes(data, begin[rec] + offset, group[pick][rec] * (1 << 20) + (at[pick][rec] - offset) + length, length)
+    cls = multikey_classes(data, begin[rec] + offset, np.zeros(len(rec), np.int64), length)
     hit = (cls >= 0) & ~often[pick][rec]
     w = np.flatnonzero(hit)
     if not len(w):

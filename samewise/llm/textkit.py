@@ -11,11 +11,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 20
 _BASE, _CHAIN = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
+SEED = 0x5A3E_715E
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -100,13 +103,30 @@ def prefix(values: np.ndarray, base: int = _BASE) -> np.ndarray:
 
 
 def spans_hash(pre: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """Hash of each span [start, end) from prefix()."""
+    """Hash of each span [start, end) from prefix(); spans of a hash need not be equal where someone wants that."""
     _, down = _scale(len(pre), base)
     return mix((pre[ends] - pre[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return spans_hash(prefix(data), starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    """A number for each span of bytes: exact up to 7 bytes, beyond that 63 bits of seeded XXH3.
+
+    Numbers of short spans (their bytes and length) and of long ones (first bit set) never meet before the
+    final mixing, which is a bijection. So only two long spans can have one number, by a chance of 2^-63.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lens = ends - starts
+    wide = np.zeros(len(data) + 8, np.uint8)
+    wide[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), np.dtype("<u8"), wide.tobytes(), strides=(1,))
+    out = (eight[starts] & _LOW[np.minimum(lens, 7)]) | (lens.astype(np.uint64) << np.uint64(56))
+    long = np.flatnonzero(lens > 7)
+    if len(long):
+        raw = wide.tobytes()
+        h = xxhash.xxh3_64_intdigest
+        out[long] = np.array([h(raw[a:b], SEED) for a, b in zip(starts[long].tolist(), ends[long].tolist())], np.uint64) | np.uint64(1 << 63)
+    return mix(out)
 
 
 def gram_hashes(values: np.ndarray, n: int) -> np.ndarray:

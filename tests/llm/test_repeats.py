@@ -72,3 +72,36 @@ def test_automata_find_every_occurrence():
     passages = [(1, 2, 3), (2, 3, 4), (3,)]
     want = sorted((i, a, a + len(p)) for p in passages for i, t in enumerate(texts) for a in range(len(t) - len(p) + 1) if t[a : a + len(p)] == p)
     assert sorted(phrases.locate(passages, texts)) == want == sorted(phrases.locate(passages, texts, automaton=1))
+
+
+def thue_morse(n, flip=False):
+    """n letters that a polynomial hash modulo 2^64 can't tell from their complement, from 1,024 on."""
+    return "".join("ab"[i.bit_count() % 2 ^ flip] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_polynomials_confuse(spark, n):
+    some = [f"w{i}" for i in range(34)]
+    texts = [" ".join([*some, thue_morse(n, flip)]) for flip in (False, True)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [(r.doc_id, r.n_words, r.n_removed) for r in phrases.phrase_dedup(docs).orderBy("doc_id").collect()] == [(0, 35, 0), (1, 35, 0)]
+    want = [sum(x) for x in brute([t.encode() for t in texts], 200)]
+    assert [r.n_removed for r in suffixes.suffix_dedup(docs).orderBy("doc_id").collect()] == want
+
+
+def test_places_of_one_hash_are_compared():
+    spec = repeats.Spec(4, 2, False)
+    docs = [repeats.Doc(b"1", 1, b"abcd"), repeats.Doc(b"2", 1, b"abcd"), repeats.Doc(b"3", 1, b"abce")]
+    z = np.zeros(3, np.int64)
+    g = repeats.Segments(np.arange(3), z, z, z, z.view(np.uint64), z.view(np.uint64), z, z + 4)
+    assert repeats._compared(docs, g, z, np.arange(3)).tolist() == [0, 0, 1]
+
+
+def test_occurrences_come_from_the_automata(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs = [repeats.Doc(b"1", 1, f"x {passage} y".encode()), repeats.Doc(b"2", 1, f"{passage} {passage}".encode())]
+    r = repeats.Records(*(np.zeros(1, np.int64) for _ in range(2)), np.array([1]), np.zeros(1, np.int64), np.ones(1, bool), np.array([6]), np.array([1]))
+    spans = lambda: sorted(zip(*(x.tolist() for x in phrases.by_automata(phrases.SPEC, docs, r, np.array([[0, 0, 5]])))))
+    assert spans() == [(0, 1, 41), (1, 0, 40), (1, 40, 80)]
+    monkeypatch.setattr(phrases, "locate", lambda passages, texts: [])
+    assert spans() == []
