@@ -2,7 +2,7 @@
 
 Words are runs of letters, digits and non-ASCII bytes, A-Z lowered; every text is used whole. Every n-gram
 of a test item is a seed, so that a copy with ``n`` unedited words in a row always has one, however often
-it leaked; copies without these have none, nor have items of under ``n`` words. Seeds join passages to
+it leaked; copies without these have none, nor have items of under ``n`` words (give a lesser ``n`` to match those). Seeds join passages to
 items; each candidate passage is aligned word by word (match 1, mismatch and gap -0.5), and its score is
 divided by the item's length. A document is contaminated by an item from ``THRESHOLD`` on.
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textkit as tk
 
-NGRAM, THRESHOLD, BLOCK_BYTES, CELLS = 3, 0.4, 8 << 20, 1 << 15
+NGRAM, THRESHOLD, BLOCK_BYTES, CELLS, WORDS = 3, 0.4, 8 << 20, 1 << 15, 1 << 20
 MISMATCH = GAP = 0.5
 _KEEP = np.arange(256, dtype=np.uint8)
 _KEEP[65:91] += 32
@@ -137,13 +137,21 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
 
 
 def scores(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The score of align() for each (item, passage): pairs of like length at once, ``CELLS`` words of items at most."""
+    """The score of align() for each (item, passage): pairs of like length at once.
+
+    At once are ``CELLS`` words of items and ``WORDS`` words of passages, as long as the longest, or one pair.
+    """
     out = np.zeros(len(pairs))
     order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
     while order:
         m = len(pairs[order[-1]][0])
-        part, order = order[-max(1, CELLS // m) :], order[: -max(1, CELLS // m)]
-        size = max(len(pairs[k][1]) for k in part)
+        size = count = 0
+        for k in reversed(order[-max(1, CELLS // m) :]):
+            grown = max(size, len(pairs[k][1]))
+            if count and (count + 1) * grown > WORDS:
+                break
+            size, count = grown, count + 1
+        part, order = order[-count:], order[:-count]
         item, real = np.zeros((m, len(part)), np.uint64), np.zeros((m, len(part)), bool)
         passage, length = np.zeros((size, len(part)), np.uint64), np.array([len(pairs[k][1]) for k in part])
         for c, k in enumerate(part):
@@ -206,9 +214,9 @@ def _blocks(items: DataFrame, n: int) -> Iterator[Index]:
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
     items = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)))
     for k in range(blocks):
-        rows = items.where(F.col("block") == k).select("item_id", "text").orderBy("item_id", "text").collect()
-        if rows:
-            yield build([r.item_id for r in rows], [r.text for r in rows], n)
+        rows = items.where(F.col("block") == k).select("item_id", "text").orderBy("item_id", "text").toArrow()
+        if rows.num_rows:
+            yield build(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), n)
 
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
