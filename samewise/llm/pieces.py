@@ -6,10 +6,14 @@ Each task encodes the distinct units that it hasn't met yet as one batch: their
 by a suffix array, every piece is binary-searched for its range of occurrences, the edges found are
 sorted by position and relaxed from left to right. The token that ends at a position is the one whose
 pair with the token before it is left alone by the model's merges; such pairs are tried once and kept.
-Characters without a piece become byte pieces. Known units are kept up to ``UNITS`` of them, then dropped.
+Characters without a piece become byte pieces. Known units are kept up to ``UNITS`` of them (``LONG`` over
+7 bytes), then dropped; two units are one only if their bytes are equal.
+
+Models must be BPE, leave texts as they are but for the space put before them, and have pieces of ``DEEP``
+characters at most; others are refused when the model is opened.
 
 Null and empty texts have no tokens. The text's own space marks (U+2581) read as spaces, as in the
-library. Repeated rows give repeated results; an empty table gives an empty result; other columns are
+library: ``round_trip`` holds for the text so read, ``lossless`` for the text itself. Repeated rows give repeated results; an empty table gives an empty result; other columns are
 not read. The model file's path is a parameter; the driver reads it and sends it to the workers, up to
 ``MODEL_BYTES``.
 """
@@ -26,8 +30,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
 
-UNITS, PAIRS, MODEL_BYTES, DEEP = 1_000_000, 4_000_000, 64 << 20, 16
+UNITS, LONG, PAIRS, MODEL_BYTES, DEEP = 1_000_000, 400_000, 4_000_000, 64 << 20, 16
 MARK = "▁"
+#: Texts that a normaliser would change.
+PROBES = ("", "  two  spaces ", "ﬁ Ａ①½ e\u0301", "A▁b", "tab\tand\nline", "internationalisation")
 
 
 class Model:
@@ -80,6 +86,10 @@ class Model:
         self.high = [self._pack(m[:, k : k + 4]) for k in range(0, DEEP, 4)]
         self.pairs, self.apart = np.zeros(0, np.int64), np.zeros(0, bool)  # pairs tried, and whether they stay apart
         self.forget()
+        for probe in PROBES:
+            data, offs = tk.text_bytes(pa.array([probe.replace(MARK, " ")]))
+            if self.encode(data, offs)[0].tolist() != sp.encode(probe):
+                raise ValueError("the model is no BPE model, or changes texts before it encodes them")
 
     @staticmethod
     def _pack(c: np.ndarray) -> np.ndarray:
@@ -90,6 +100,7 @@ class Model:
         """Drop all known units."""
         self.unit_hash, self.unit_at, self.unit_len = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
+        self.long: dict[bytes, int] = {}
 
     # the model's merges, on short strings
 
@@ -251,14 +262,13 @@ class Model:
         cut[offs[:-1][full]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
-        h = tk.word_hashes(data, starts, ends)
+        if len(self.unit_hash) > UNITS or len(self.long) > LONG:
+            self.forget()
+        h = tk.word_numbers(data, starts, ends, lambda spans: [self.long.setdefault(x, len(self.long)) for x in spans])
         distinct, where, code = np.unique(h, return_index=True, return_inverse=True)
         i = np.searchsorted(self.unit_hash, distinct)
         known = (self.unit_hash[np.minimum(i, len(self.unit_hash) - 1)] == distinct) & (i < len(self.unit_hash)) if len(self.unit_hash) else np.zeros(len(distinct), bool)
         if not known.all():
-            if len(self.unit_hash) > UNITS:
-                self.forget()
-                known[:] = False
             new = np.flatnonzero(~known)
             raw = data.tobytes()
             units = [raw[a:b].decode().replace(" ", MARK) for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist())]
@@ -309,6 +319,11 @@ def _encoded(model: Model, rows: pa.RecordBatch, k: int) -> tuple:
     return ids, first, same
 
 
+def _unmarked(column: pa.Array) -> np.ndarray:
+    """Whether each text has no space mark of its own."""
+    return ~pc.fill_null(pc.match_substring(column, MARK), False).to_numpy(zero_copy_only=False)
+
+
 def _read_model(spark, path: str) -> bytes:
     with open(path, "rb") as f:
         raw = f.read(MODEL_BYTES + 1)
@@ -318,17 +333,18 @@ def _read_model(spark, path: str) -> bytes:
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, ids array<int>, n_tokens, round_trip), a row per row of docs; round_trip: the ids decode to the text."""
+    """(doc_id, ids array<int>, n_tokens, round_trip, lossless), a row per row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(_read_model(docs.sparkSession, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = opened(sent.value)
         for rows, _, _ in tk.slices(batches, "text"):
             ids, first, same = _encoded(model, rows, 1)
+            lossless = same & _unmarked(rows.column(1))
             lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), lists, pa.array(np.diff(first)), pa.array(same)], ["doc_id", "ids", "n_tokens", "round_trip"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), lists, pa.array(np.diff(first)), pa.array(same), pa.array(lossless)], ["doc_id", "ids", "n_tokens", "round_trip", "lossless"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean, lossless boolean")
 
 
 def token_digests(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -339,15 +355,16 @@ def token_digests(docs: DataFrame, path: str, text: str = "text", doc_id: str =
         model = opened(sent.value)
         for rows, _, _ in tk.slices(batches, "text"):
             ids, first, same = _encoded(model, rows, 1)
+            lossless = same & _unmarked(rows.column(1))
             back, at = model.decode(ids, first)
             raw, text = ids.astype("<i4").tobytes(), back.tobytes()
             a, b = first.tolist(), at.tolist()
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(np.diff(first)), pa.array([hashlib.sha256(raw[4 * x : 4 * y]).hexdigest() for x, y in zip(a, a[1:])]), pa.array([hashlib.sha256(text[x + (x < y) : y]).hexdigest() for x, y in zip(b, b[1:])]), pa.array(same)],
-                ["doc_id", "n_tokens", "ids_sha256", "text_sha256", "round_trip"],
+                [rows.column(0), pa.array(np.diff(first)), pa.array([hashlib.sha256(raw[4 * x : 4 * y]).hexdigest() for x, y in zip(a, a[1:])]), pa.array([hashlib.sha256(text[x + (x < y) : y]).hexdigest() for x, y in zip(b, b[1:])]), pa.array(same), pa.array(lossless)],
+                ["doc_id", "n_tokens", "ids_sha256", "text_sha256", "round_trip", "lossless"],
             )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, text_sha256 string, round_trip boolean")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, text_sha256 string, round_trip boolean, lossless boolean")
 
 
 def decoded(tokens: DataFrame, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ document, if that alone is longer), so a worker's memory follows the slice and n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +114,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     Numbers of short spans (their bytes and length) and of long ones (first bit set) never meet before the
     final mixing, which is a bijection. So only two long spans can have one number, by a chance of 2^-63.
     """
+    h = xxhash.xxh3_64_intdigest
+    return mix(word_numbers(data, starts, ends, lambda spans: [h(x, SEED) for x in spans]))
+
+
+def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, long_numbers: Callable[[list[bytes]], list[int]]) -> np.ndarray:
+    """The bytes and length of each span of up to 7 bytes; of others what long_numbers says, with the first bit set."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lens = ends - starts
@@ -124,9 +130,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     long = np.flatnonzero(lens > 7)
     if len(long):
         raw = wide.tobytes()
-        h = xxhash.xxh3_64_intdigest
-        out[long] = np.array([h(raw[a:b], SEED) for a, b in zip(starts[long].tolist(), ends[long].tolist())], np.uint64) | np.uint64(1 << 63)
-    return mix(out)
+        spans = [raw[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+        out[long] = np.array(long_numbers(spans), np.uint64) | np.uint64(1 << 63)
+    return out
 
 
 def gram_hashes(values: np.ndarray, n: int) -> np.ndarray:

@@ -53,3 +53,25 @@ def test_frames(spark, tricky, nothing, both):
     digests = pieces.token_digests(tricky, PATH).collect()
     assert {r.doc_id: r.n_tokens for r in digests} == {r.doc_id: len(r.ids) for r in rows}
     assert pieces.encoded(nothing, PATH).count() == 0
+
+
+def thue_morse(n, flip=False):
+    return "".join("ab"[i.bit_count() % 2 ^ flip] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_units_that_polynomials_confuse(both, n):
+    model, sp = both
+    texts = [thue_morse(n), thue_morse(n, True)]
+    assert ids_of(model, texts) == sp.encode(texts, num_threads=1)
+
+
+def test_lossless_is_of_the_source(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a▁b"), (3, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.round_trip, r.lossless) for r in pieces.encoded(docs, PATH).collect()) == [(1, True, True), (2, True, False), (3, True, True)]
+
+
+def test_other_models_are_refused(monkeypatch, both):
+    monkeypatch.setattr(pieces.Model, "encode_units", lambda self, units: ([], []))
+    with pytest.raises(Exception):
+        pieces.Model(open(PATH, "rb").read())
