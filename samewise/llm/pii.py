@@ -30,7 +30,9 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Characters that look like ASCII ones (fixed values).
 HOMOGLYPHS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ո": "n",
-    "ο": "o", "α": "a", "ν": "v", "ι": "i", "κ": "k", "τ": "t", "ρ": "p",
+    "А": "A", "В": "B", "Е": "E", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Ѕ": "S", "Т": "T", "У": "Y", "Х": "X",
+    "ο": "o", "α": "a", "ν": "v", "ι": "i", "κ": "k", "τ": "t", "ρ": "p", "υ": "u", "χ": "x",
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "＠": "@", "﹫": "@", "．": ".", "。": ".", "․": ".", "‧": ".", "＋": "+", "－": "-", "（": "(", "）": ")",
     "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2014": "-", "\u2212": "-",
     "\u00a0": " ", "\u2007": " ", "\u2009": " ", "\u202f": " ",
@@ -40,15 +42,27 @@ HOMOGLYPHS = {
 DIGITS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
 }
+#: Names of the digits in other languages, which are read as digits only in runs of four or more (fixed values).
+MORE_DIGITS = {
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
 _GLYPHS = dict(HOMOGLYPHS) | {chr(0xFF10 + i): str(i) for i in range(10)} | {chr(0xFF21 + i): chr(65 + i) for i in range(26)} | {chr(0xFF41 + i): chr(97 + i) for i in range(26)} | {chr(0x660 + i): str(i) for i in range(10)} | {chr(0x6F0 + i): str(i) for i in range(10)}
 _GLYPH = re.compile("[" + "".join(map(re.escape, _GLYPHS)) + "]")
 _NAMES = "|".join(DIGITS)
 _SPELLED = re.compile(rf"(?<![A-Za-z@])(?:plus[ -](?=[0-9]{{1,4}}[ -]{{1,2}}(?:{_NAMES})(?![A-Za-z]))|(?:plus[ -])?(?:{_NAMES})(?:[ ,-]{{1,2}}(?:{_NAMES}))*(?![A-Za-z@]))", re.I)
+_ANY = "|".join(sorted([*DIGITS, *MORE_DIGITS], key=len, reverse=True))
+_FOREIGN = re.compile(rf"(?<![^\W\d_])(?<!@)(?:plus[ -])?(?:{_ANY})(?:[ ,-]{{1,2}}(?:{_ANY})){{3,}}(?![^\W\d_])(?!@)", re.I)
+_WORD = re.compile(r"[^\W\d_]+")
 _BEFORE = re.compile(r"(?:[0-9.+][ ,().-]{0,2}| dot )\Z", re.I)
 _AFTER = re.compile(r"[ ,().-]{0,2}[0-9.]| dot ", re.I)
 _DIGIT_DOT = re.compile(r"(?<=[0-9]) dot (?=[0-9])", re.I)
 _NAME = re.compile(rf"plus|{_NAMES}", re.I)
-_BRACKET = re.compile(r"[ \t]{0,3}(?:\[[ ]?(at|dot)[ ]?\]|\([ ]?(at|dot)[ ]?\)|\{[ ]?(at|dot)[ ]?\}|<[ ]?(at|dot)[ ]?>|\[(@|\.)\]|\((@|\.)\))[ \t]{0,3}", re.I)
+#: Names of the signs in brackets (fixed values).
+SIGNS = {"at": "@", "arobase": "@", "arroba": "@", "@": "@", "dot": ".", "point": ".", "punkt": ".", "punto": ".", ".": "."}
+_SIGN = "|".join(re.escape(x) for x in sorted(SIGNS, key=len, reverse=True))
+_BRACKET = re.compile(rf"[ \t]{{0,3}}(?:\[ ?({_SIGN}) ?\]|\( ?({_SIGN}) ?\)|\{{ ?({_SIGN}) ?\}}|< ?({_SIGN}) ?>)[ \t]{{0,3}}", re.I)
 _SPACED = re.compile(r"(?<=[A-Za-z0-9]) (at|AT|At) (?=[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6} (?:dot|DOT|Dot) [A-Za-z0-9])")
 _SPACED_DOT = re.compile(r" (?:dot|DOT|Dot) (?=[A-Za-z0-9])")
 _SPREAD = re.compile(r"(?<=[A-Za-z0-9]) ?@ ?(?=[A-Za-z0-9-]{1,63}(?: ?\. ?[A-Za-z0-9-]{1,63}){1,6})")
@@ -135,6 +149,11 @@ def _spelled(m: re.Match) -> str:
     return "".join("+" if w.lower() == "plus" else DIGITS[w.lower()] for w in _NAME.findall(m[0]))
 
 
+def _foreign(run: str) -> str:
+    words = [w.lower() for w in _WORD.findall(run)]
+    return "".join("+" if w == "plus" else DIGITS.get(w) or MORE_DIGITS[w] for w in words)
+
+
 def _around(text: str, edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Only edits with a letter or digit on both sides."""
     return [(i, j, s) for i, j, s in edits if i and j < len(text) and text[i - 1].isalnum() and text[j].isalnum()]
@@ -147,7 +166,7 @@ def deobfuscate(text: str) -> Rewriting:
         out.apply([(*m.span(), _GLYPHS[m[0]]) for m in _GLYPH.finditer(out.text)])
     now = out.text
     if any(c in now for c in "[({<"):
-        out.apply(_around(now, [(*m.span(), "@" if (m[m.lastindex]).lower() in ("at", "@") else ".") for m in _BRACKET.finditer(now)]))
+        out.apply(_around(now, [(*m.span(), SIGNS[m[m.lastindex].lower()]) for m in _BRACKET.finditer(now)]))
     low = out.text.lower()
     if " dot " in low:
         at = [m.span() for m in _SPACED.finditer(out.text)]
@@ -163,6 +182,7 @@ def deobfuscate(text: str) -> Rewriting:
         out.apply(sorted(set(edits)))
     if "@" in out.text and (" @" in out.text or "@ " in out.text):
         out.apply([(*m.span(), "@") for m in _SPREAD.finditer(out.text) if m[0] != "@"])
+    out.apply([(*m.span(), _foreign(m[0])) for m in _FOREIGN.finditer(out.text)])
     now = out.text
     out.apply([(*m.span(), s) for m in _SPELLED.finditer(now) if len(s := _spelled(m)) > 1 or s == "+" or _BEFORE.search(now, max(0, m.start() - 5), m.start()) or _AFTER.match(now, m.end())])
     if " dot " in low:

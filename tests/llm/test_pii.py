@@ -86,3 +86,48 @@ def test_frames(spark, tricky, nothing):
 )
 def test_spelled_digits(text, kind, span):
     assert (kind, span) in [(k, text[s:e]) for s, e, k in pii.all_spans(text)[1]]
+
+
+def test_planted_disguises_are_found():
+    import random
+
+    rng = random.Random(5)
+    prose = ["the", "un", "der", "los", "at", "dot", "seven", "plain", "word", "été", "im", "six", "nada", "(see", "below)", "8", "huit", "acht", "null"]
+    names = [list("zero one two three four five six seven eight nine".split()), list("zéro un deux trois quatre cinq six sept huit neuf".split()), list("null eins zwei drei vier fünf sechs sieben acht neun".split()), list("cero uno dos tres cuatro cinco seis siete ocho nueve".split())]
+    looks = str.maketrans("aeopcxABEKMHOPCTX", "аеорсхАВЕКМНОРСТХ")
+
+    def card():
+        d = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        return next(d + c for c in "0123456789" if pii.luhn(d + c))
+
+    found = {}
+    for _ in range(600):
+        user, host, end = rng.choice(["bob", "max.cope", "PACE"]), rng.choice(["corp", "mail-x", "EXACT"]), rng.choice(["com", "co.uk"])
+        digits = "44" + "".join(rng.choice("0123456789") for _ in range(9))
+        a, d = rng.choice([("[at]", "[dot]"), (" (at) ", " (dot) "), ("{at}", "{dot}"), (" arobase ".join("()"), " point ".join("()")), (" at ", " dot ")])
+        cases = [
+            ("email", "spelled", f"{user}{a}{host}{d}{end.replace('.', d)}"),
+            ("email", "glyphs", f"{user}@{host}.{end}".translate(looks)),
+            ("phone", "spelled", "plus " + " ".join(rng.choice(names)[int(c)] for c in digits) if rng.random() < 0.5 else "plus " + " ".join((n := rng.choice(names))[int(c)] for c in digits)),
+            ("card", "wide", "".join(chr(0xFF10 + int(c)) for c in card())),
+            ("ip", "dotted", "(dot)".join(str(rng.randrange(256)) for _ in range(4))),
+        ]
+        kind, how, secret = rng.choice(cases)
+        before, after = (" ".join(rng.choices(["the", "plain", "word", "été", "nada", "below)"], k=8)) for _ in range(2))
+        text = f"{before} {secret} {after}"
+        spans = [(k, text[s:e]) for s, e, k in pii.all_spans(text)[1]]
+        hits = found.setdefault((kind, how), [0, 0])
+        hits[(kind, secret) in spans] += 1
+    assert len(found) == 5
+    for key, (no, yes) in found.items():
+        assert yes / (no + yes) >= 0.9, (key, no, yes)
+
+
+def test_words_of_clean_prose_stay():
+    for t in ["un deux trois soleil", "null und acht Uhr", "dos y tres", "from six to nine", "А О К", "sept huit neuf dix", "seven of nine at dot"]:
+        assert pii.all_spans(t)[1] == []
+
+
+def test_upper_case_homoglyphs():
+    text = "write to АЕОРС@еxample.com today"
+    assert [text[s:e] for s, e, _ in pii.all_spans(text)[1]] == ["АЕОРС@еxample.com"]
