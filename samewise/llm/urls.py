@@ -4,7 +4,7 @@ The host is what follows the first "://" up to "/", "?", "#" or the end, with A-
 on from there up to "?", "#" or the end; both are empty for a null URL or one without "://". A rule
 ``host/path`` fits its host and the subdomains of it, if the path starts with the rule's path; the
 longest rule wins. URLs that a rule decides are the labelled ones: the trees are trained on at most
-``SAMPLE`` of them (those with the least hash; documented bound) and decide the others.
+``SAMPLE`` different ones (those with the least hash; documented bound) and decide the others.
 
 Suffix statistics are counted over all URLs, by host suffix hashed into ``SUFFIXES`` slots. Without any
 labelled URL, or with one label alone, that label (or "allow") is given. Repeated rows give repeated
@@ -144,7 +144,11 @@ def _features(batch: pa.RecordBatch, table: np.ndarray) -> np.ndarray:
 
 def train(pages: DataFrame, table: np.ndarray) -> Trees:
     """Fit on the bounded sample of labelled URLs; features are made by the workers."""
-    few = pages.where("verdict is not null").orderBy(F.xxhash64("url"), "url", "verdict").limit(SAMPLE).select("url", "host", "path", "slot", "verdict")
+    labelled = pages.where("verdict is not null").withColumn("at", F.pmod(F.xxhash64("url"), F.lit(1 << 30)))
+    n = labelled.select(F.xxhash64("url").alias("h")).distinct().count()
+    # the hash alone leaves about twice as many different URLs as are wanted
+    few = labelled.where(F.col("at") < (1 << 30) * min(1.0, 2 * SAMPLE / max(n, 1))).dropDuplicates(["url"])
+    few = few.orderBy("at", "url").limit(SAMPLE).select("url", "host", "path", "slot", "verdict")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
