@@ -2,8 +2,9 @@
 
 A text is the bag of its byte n-grams (``ORDERS``) hashed into ``BUCKETS``; its vector is the mean of
 their embeddings, its logits a linear map of that. Both are trained by stochastic gradient descent on a
-bounded sample of labelled rows: at most ``PER_LANGUAGE`` different texts of each language, by a hash of the
-text (documented bound; whole texts). A quarter of the sample is kept from training: there a temperature
+bounded sample of labelled rows (documented bounds; whole texts): of each of the ``LANGUAGES`` most frequent
+languages at most ``PER_LANGUAGE`` different texts, those with the least hash, while their bags have at most
+an equal share of ``ENTRIES`` entries together (the first text always counts). A quarter of the sample is kept from training: there a temperature
 is fitted, and the probability below which a prediction is rejected is set to the ``REJECT`` quantile of
 correct predictions, at most ``CEILING``. Every text is scored whole.
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from . import textkit as tk
 
 ORDERS, BUCKETS, DIM = (2, 3, 4), 1 << 15, 16
-PER_LANGUAGE, LANGUAGES, EPOCHS, RATE, BATCH = 600, 200, 12, 2.0, 16
+PER_LANGUAGE, LANGUAGES, ENTRIES, EPOCHS, RATE, BATCH = 600, 1000, 16_000_000, 12, 2.0, 16
 REJECT, CEILING = 0.001, 0.5
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
@@ -94,9 +95,8 @@ def sample(labelled: DataFrame) -> DataFrame:
     texts = rows.groupBy("lang", F.xxhash64("text").alias("h")).count()
     counts = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.sum("count").alias("rows"), F.count("*").alias("n")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()}
     # the hash alone leaves a few times as many different texts as are wanted, before any text moves
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(4 * PER_LANGUAGE / n)).otherwise(share)
+    shares = [F.lit(x) for lang, n in counts.items() for x in (lang, 4 * PER_LANGUAGE / n)]
+    share = F.coalesce(F.create_map(*shares)[F.col("lang")], F.lit(0.0)) if shares else F.lit(0.0)
     few = rows.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["lang", "h"])
     w = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
     few = few.withColumn("k", F.row_number().over(w)).where(F.col("k") <= PER_LANGUAGE)
@@ -112,7 +112,10 @@ def sample(labelled: DataFrame) -> DataFrame:
                 counts.append(c.astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), h], ["lang", "ids", "counts", "h"])
 
-    return few.select("lang", "text", "h").mapInArrow(run, "lang string, ids array<int>, counts array<int>, h long")
+    bags = few.select("lang", "text", "h").mapInArrow(run, "lang string, ids array<int>, counts array<int>, h long")
+    total = F.sum(F.size("ids")).over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    fits = (F.col("total") <= ENTRIES // max(1, len(counts))) | (F.col("total") == F.size("ids"))
+    return bags.withColumn("total", total).where(fits).drop("total")
 
 
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
@@ -165,8 +168,8 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
 
 
 def train(labelled: DataFrame) -> Model:
-    """Fit on the bounded sample of labelled(text, lang): at most PER_LANGUAGE rows of LANGUAGES languages reach the driver."""
-    got = sample(labelled).orderBy("lang", "h", F.col("ids")).limit(PER_LANGUAGE * LANGUAGES).toArrow()
+    """Fit on the bounded sample of labelled(text, lang): at most about ENTRIES entries of bags reach the driver."""
+    got = sample(labelled).orderBy("lang", "h", F.col("ids")).toArrow()
     names, ids, counts = got.column(0).to_pylist(), got.column(1).combine_chunks(), got.column(2).combine_chunks()
     return fit([(names[i], np.array(ids[i].values.to_numpy()), np.array(counts[i].values.to_numpy())) for i in range(len(names))])
 
