@@ -7,8 +7,10 @@ a sorted array of hashes with counts to the shared folder, and sends on what the
 likewise. A frequent word is spread over ``SALTS`` buckets, and no block has a pair or word twice.
 
 Scoring: workers memory-map the arrays and search them for the sorted keys of a slice; nothing of the
-corpus's size is sent to the driver or broadcast. On stores that only Spark's connectors reach, a worker
-first copies the arrays into its own temporary folder.
+corpus's size is sent to the driver or broadcast. A worker keeps ``MAPS`` arrays open at most. On stores
+that can't be mapped it reads a bucket's arrays when it needs them and keeps about ``HELD`` bytes.
+
+A word is its number of ``textkit.word_hashes``: exact up to 7 bytes, 63 bits of a seeded hash beyond.
 
 p(v|u) = max(c(u,v) - D(c), 0) / c(u) + g(u) p(v);  p(v) = max(k(v) - d(k), 0) / K + g / (V + 1)
 with k the number of distinct predecessors; an unknown word has g / (V + 1). The discounts are those of
@@ -21,7 +23,6 @@ from __future__ import annotations
 import json
 import math
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -34,6 +35,7 @@ from .langid import held_out
 from .shared import drop, file_system, fresh
 
 CHUNK, SALTS, SLICE, BUCKET_BYTES = 1_500_000, 16, 4 << 20, 8 << 20
+MAPS, HELD = 4096, 128 << 20
 START, END = np.uint64(0x5BF0_3635_DB9B_1F01), np.uint64(0x2545_F491_4F6C_DD1D)
 BLOCK = "bucket int, a binary, b binary, n binary"
 
@@ -150,7 +152,7 @@ def _sum_pairs(folder: str, spread: int):
         _write(folder, f"pairs-{k:05d}", {"h": h, "n": small, "at": at, "more": more})
         word, code = np.unique(np.concatenate([u, v]), return_inverse=True)
         cu, cv = code[: len(u)], code[len(u) :]
-        gains = np.zeros((len(word), 6), np.uint32)
+        gains = np.zeros((len(word), 6), np.int64)
         gains[:, 0] = np.bincount(cv, n, len(word))  # its count as a token
         gains[:, 1] = np.bincount(cu, n, len(word))  # its count as a context
         for j in (1, 2):
@@ -160,6 +162,7 @@ def _sum_pairs(folder: str, spread: int):
         counts = np.bincount(np.minimum(n, 5), minlength=6)[1:5]
         # words ascend, so a bucket's are a run; columns one after the other, as most are nearly all 0 or 1
         cut = np.searchsorted(word_bucket(word, spread), np.arange(spread + 1)).tolist()
+        gains = gains.astype(np.uint32) if gains.max(initial=0) < 1 << 32 else gains
         rows = [(i, word[a:b].tobytes(), gains[a:b].T.tobytes()) for i, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
         first = [counts.astype(np.int64).tobytes()] + [b""] * (len(rows) - 1)
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "a": pa.array([r[1] for r in rows], pa.binary()), "b": pa.array([r[2] for r in rows], pa.binary()), "n": pa.array(first, pa.binary())})
@@ -171,7 +174,8 @@ def _sum_words(folder: str):
     def run(table: pa.Table) -> pa.Table:
         k = table.column("bucket")[0].as_py()
         word = _joined(table, "a", np.uint64)
-        gains = np.concatenate([np.frombuffer(b, np.uint32).reshape(6, -1).T for b in table.column("b").to_pylist()])
+        blobs = zip(table.column("a").to_pylist(), table.column("b").to_pylist())
+        gains = np.concatenate([np.frombuffer(b, np.uint32 if len(b) == 3 * len(a) else np.int64).reshape(6, -1).T for a, b in blobs])
         order = np.argsort(word)
         word, gains = word[order], gains[order].astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
@@ -189,7 +193,7 @@ def _sum_words(folder: str):
 def discounts(n: list[int]) -> list[float]:
     """Of counts 1, 2, and 3 or more, from the numbers of things counted 1, 2, 3 and 4 times."""
     if not n[0]:
-        return [0.0, 0.0, 0.0]
+        return [0.1, 0.1, 0.1]  # the least, so that unknown words have a share
     y = n[0] / (n[0] + 2 * n[1])
     out = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else k * y for k in (1, 2, 3)]
     return [min(max(d, 0.1), k) for k, d in enumerate(out, 1)]
@@ -224,26 +228,37 @@ class Model:
     def __init__(self, folder: str):
         from pyarrow import fs
 
-        files, base = file_system(folder)
-        if not isinstance(files, fs.LocalFileSystem):
-            own = tempfile.mkdtemp(prefix="lm-")
-            fs.copy_files(base, own, source_filesystem=files, destination_filesystem=fs.LocalFileSystem())
-            base = own
-        with open(f"{base}/model.json") as f:
-            self.meta = json.load(f)
-        self.base, n = base, self.meta["buckets"]
-        self.pairs = [self._pairs(k) for k in range(n)]
-        self.words = [self._words(k) for k in range(self.meta["spread"])]
+        self.files, self.base = file_system(folder)
+        self.local = isinstance(self.files, fs.LocalFileSystem)
+        with self.files.open_input_file(f"{self.base}/model.json") as f:
+            self.meta = json.loads(f.read())
         m = self.meta
         self.d, self.e = np.array([0, *m["pair_discounts"]]), np.array([0, *m["word_discounts"]])
         self.floor = m["uniform"] / (m["vocabulary"] + 1)
-
-    def _map(self, name: str, kind):
-        path = f"{self.base}/{name}"
-        return np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
+        self.kept: dict[str, np.ndarray] = {}
+        self.held = 0
+
+    def _array(self, name: str, kind) -> np.ndarray:
+        """A file's array, mapped (or read, where the store can't be mapped); empty if there is none."""
+        found = self.kept.get(name)
+        if found is None:
+            if len(self.kept) >= MAPS or self.held > HELD:
+                self.kept.clear()
+                self.held = 0
+            path = f"{self.base}/{name}"
+            if self.local:
+                found = np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
+            elif self.files.get_file_info(path).is_file:
+                with self.files.open_input_file(path) as f:
+                    found = np.frombuffer(f.read(), kind)
+                self.held += found.nbytes
+            else:
+                found = np.zeros(0, kind)
+            self.kept[name] = found
+        return found
 
     def _load(self, name: str, kinds: dict) -> dict:
-        return {k: self._map(f"{name}.{k}", kind) for k, kind in kinds.items()}
+        return {k: self._array(f"{name}.{k}", kind) for k, kind in kinds.items()}
 
     def _pairs(self, k: int) -> dict:
         return self._load(f"pairs-{k:05d}", {"h": np.uint64, "n": np.uint8, "at": np.int64, "more": np.int64})
@@ -258,7 +273,7 @@ class Model:
         out = np.zeros((len(word), 6), np.int64)
         cut = np.searchsorted(word_bucket(word, n), np.arange(n + 1))
         for k in np.flatnonzero(np.diff(cut)).tolist():
-            w, t = word[cut[k] : cut[k + 1]], self.words[k]
+            w, t = word[cut[k] : cut[k + 1]], self._words(k)
             if len(t["h"]):
                 i = np.minimum(np.searchsorted(t["h"], w), len(t["h"]) - 1)
                 same = t["h"][i] == w
@@ -273,7 +288,7 @@ class Model:
         cut = np.searchsorted(bucket[order], np.arange(n + 1))
         out = np.zeros(len(u), np.int64)
         for k in np.flatnonzero(np.diff(cut)).tolist():
-            at, t = order[cut[k] : cut[k + 1]], self.pairs[k]
+            at, t = order[cut[k] : cut[k + 1]], self._pairs(k)
             if not len(t["h"]):
                 continue
             i = np.minimum(np.searchsorted(t["h"], h[at]), len(t["h"]) - 1)

@@ -121,3 +121,63 @@ def test_blocks_of_many_buckets():
     sent = lm._send(bucket, [bucket], 70_000, ["bucket", "a"]).to_pydict()
     assert all((np.frombuffer(a, np.int32) == k).all() for k, a in zip(sent["bucket"], sent["a"]))
     assert sorted(sent["bucket"]) == sorted(set(bucket.tolist()))
+
+
+def test_unknown_words_have_a_share(spark):
+    only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    rows = [(i, "a a b b") for i in range(100) if i != only][:40] + [(only, "never seen")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score_documents(docs).collect()}
+    assert all(math.isfinite(r.score) and r.perplexity < 1e299 for r in got.values())
+    assert got[only].score < got[rows[0][0]].score
+
+
+def test_counts_beyond_32_bits(tmp_path):
+    import pyarrow as pa
+
+    u, v, n = np.array([5] * 3000, np.uint64), np.array([9] * 3000, np.uint64), np.array([2_000_000] * 3000, np.uint32)
+    table = pa.table({"bucket": pa.array([0], pa.int32()), "a": [u.tobytes()], "b": [v.tobytes()], "n": [n.tobytes()]})
+    sent = lm._sum_pairs(f"file://{tmp_path}", 4)(table)
+    parts = [sent.filter(pa.compute.equal(sent.column("bucket"), k)) for k in set(sent.column("bucket").to_pylist())]
+    done = [lm._sum_words(f"file://{tmp_path}")(t).to_pylist()[0] for t in parts]
+    assert sum(r["s8"] for r in done) == 6_000_000_000
+
+
+def test_words_that_polynomials_confuse(spark):
+    for n in (1024, 4096):
+        a, b = ("".join("ab"[i.bit_count() % 2 ^ flip] for i in range(n)) for flip in (0, 1))
+        ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10][:2]
+        docs = spark.createDataFrame([(ids[0], a), (ids[1], f"x {b}")], "doc_id long, text string")
+        got = sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in lm.score_documents(docs).collect())
+        want = [(i, t, k, n_, b_, s) for i, _, t, k, n_, b_, s in brute_scores([(r.doc_id, r.text) for r in docs.collect()])]
+        assert got == [pytest.approx(x, abs=1e-4) for x in sorted(want)]
+
+
+def test_few_maps_are_open(spark, tricky, monkeypatch):
+    rows = tricky.select("doc_id", "text").where("doc_id is not null")
+    folder = lm.train(rows.select("text"))
+    data, offs = lm.tk.text_bytes(rows.toArrow().column("text"))
+    want = lm.Model(folder).score(data, offs)
+    monkeypatch.setattr(lm, "MAPS", 3)
+    few = lm.Model(folder)
+    assert all(np.array_equal(x, y) for x, y in zip(few.score(data, offs), want)) and len(few.kept) <= 3
+
+
+def test_many_languages_are_learned(spark):
+    rows = spark.range(3000).selectExpr("concat('l', id % 300) as lang", "concat('text ', id) as text")
+    assert langid.sample(rows).select("lang").distinct().count() == 300
+
+
+def test_softmax_by_hand():
+    model = langid.fit([("x", np.array([1, 2]), np.array([1, 1])), ("y", np.array([3]), np.array([2]))] * 20)
+    text = "Ab, c"
+    folded = bytes(langid._FOLD[b] for b in text.encode())
+    z, n = np.zeros(len(model.languages)), 0
+    for order in langid.ORDERS:
+        for i in range(len(folded) - order + 1):
+            z, n = z + model.table[langid.gram_buckets(np.frombuffer(folded[i : i + order], np.uint8).astype(np.uint32), order)[0]], n + 1
+    z = z / n + model.bias
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    data = np.frombuffer(text.encode(), np.uint8)
+    best, score, _ = model.predict(data, np.array([0, len(data)]))
+    assert best[0] == p.argmax() and score[0] == pytest.approx(p.max())
