@@ -4,8 +4,8 @@ Fingerprints are made once per document; equal ones are merged before anything i
 fingerprints that differ in at most r bits agree in one of r + 1 blocks of their bits, so each
 fingerprint is dealt to r + 1 strips (block, value). A strip is sorted by population count and cut into
 tiles; a pair of tiles is compared by exclusive-or and bit counts, unless their population counts are
-more than r apart. Strips beyond ``STRIP`` members are dealt out again by their remaining bits, which
-loses no pair. Each strip returns a spanning forest of its links, never all pairs.
+more than r apart. Strips beyond ``STRIP`` members are dealt out again by their remaining bits, as often
+as it takes, which loses no pair. Each strip returns a spanning forest of its links, never all pairs.
 
 Nulls and empty texts have fingerprint 0 and link like any other. Repeated rows stay, one result each.
 An empty table gives an empty result. Other columns of the input are not read.
@@ -24,7 +24,7 @@ from . import textkit as tk
 from .components import connected_components
 from .shared import partitions, staged
 
-TILE, STRIP = 512, 4096
+TILE, STRIP, LINKS = 512, 4096, 1 << 18
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -89,7 +89,7 @@ def tile_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links of distinct fingerprints (uint64), as a spanning forest of indices."""
     counts = np.bitwise_count(fp).astype(np.int16)
     order = np.argsort(counts, kind="stable")
-    f, c, found = fp[order], counts[order], []
+    f, c, found, size = fp[order], counts[order], [], 0
     for i in range(0, len(f), TILE):
         a, high = f[i : i + TILE], c[min(i + TILE, len(f)) - 1]
         for j in range(i, len(f), TILE):
@@ -99,6 +99,10 @@ def tile_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
             x, y = np.nonzero(near)
             keep = x + i < y + j
             found += [(order[x[keep] + i], order[y[keep] + j])]
+            size += int(keep.sum())
+            if size > LINKS:  # a forest of what is linked so far links the same
+                found = [tuple(np.array(_forest(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))).T)]
+                size = len(found[0][0]) - LINKS
     if not found:
         return []
     return _forest(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
@@ -147,19 +151,29 @@ def _strips(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
 def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints fp within the radius of each other."""
     n = partitions(distinct.sparkSession)
-    whole = _blocks(list(range(64)), radius + 1)
-    key = lambda masks: F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("strip"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("key")) for k, m in masks]))
-    first = distinct.select("fp", key(list(enumerate(whole))).alias("s")).select("fp", "s.strip", "s.key")
-    hot = first.groupBy("strip", "key").count().where(F.col("count") > STRIP).select("strip", "key", F.lit(True).alias("hot"))
-    dealt = first.join(hot, ["strip", "key"], "left")
-    parts = [dealt.where("hot is null").select("strip", "key", "fp")]
-    for k, mask in enumerate(whole):  # again by what is left: the block they share, and one of the parts of the others
-        rest = _blocks([b for b in range(64) if not mask >> b & 1], radius + 1)
-        parts.append(dealt.where((F.col("hot")) & (F.col("strip") == k)).select("fp", key([((radius + 1) * (k + 1) + i, mask | m) for i, m in enumerate(rest)]).alias("s")).select("s.strip", "s.key", "fp"))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    rows = rows.repartition(n, "strip", "key").sortWithinPartitions("strip", "key")
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
+    key = lambda masks: F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("strip"), F.col("fp").bitwiseAND(signed(m)).alias("key")) for k, m in masks]))
+    masks = dict(enumerate(_blocks(list(range(64)), radius + 1)))
+    rows = distinct.select("fp", key(list(masks.items())).alias("s")).select("s.strip", "s.key", "fp")
+    done = None
+    while True:
+        hot = rows.groupBy("strip", "key").count().where(F.col("count") > STRIP).select("strip", "key", F.lit(True).alias("hot"))
+        again = [r["strip"] for r in hot.select("strip").distinct().collect() if 64 - masks[r["strip"]].bit_count() > radius]
+        dealt = staged(rows.join(hot, ["strip", "key"], "left"), "strips") if again else None
+        small = rows if dealt is None else dealt.where(F.col("hot").isNull() | ~F.col("strip").isin(again)).select("strip", "key", "fp")
+        done = small if done is None else done.unionByName(small)
+        if dealt is None:
+            break
+        parts = []
+        for k in sorted(again):  # by what is left: the blocks they share, and one of the parts of the others
+            rest = _blocks([b for b in range(64) if not masks[k] >> b & 1], radius + 1)
+            new = {len(masks) + i: masks[k] | m for i, m in enumerate(rest)}
+            masks |= new
+            parts.append(dealt.where(F.col("hot") & (F.col("strip") == k)).select("fp", key(list(new.items())).alias("s")).select("s.strip", "s.key", "fp"))
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+    rows = done.repartition(n, "strip", "key").sortWithinPartitions("strip", "key")
     return rows.mapInArrow(lambda it: _strips(it, radius), "a long, b long").distinct()
 
 

@@ -117,3 +117,20 @@ def test_metadata_come_from_headers(spark, tricky):
     got = {r.doc_id: (r.width, r.height, r.bits) for r in rows.collect()}
     whole = {r.doc_id: (r.width, r.height, r.bits) for r in media.media_features(tricky).collect()}
     assert got == whole and rows.count() == tricky.count()
+
+
+def test_features_by_hand(spark):
+    texts = ["", "abc", "é" * 500, "\x00\x7f" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in media.media_features(docs).collect():
+        t = texts[r.doc_id].encode()
+        p = t + b" " * (-len(t) % 192 if t else 192)
+        shares = [sum(16 * k <= b < 16 * k + 16 for b in p) * 1000 // len(p) for k in range(16)]
+        assert r.feature == ",".join(map(str, shares)) + f";{sum(p)}"
+
+
+def test_forests_while_tiles_are_met(monkeypatch):
+    monkeypatch.setattr(simhash, "LINKS", 5)
+    monkeypatch.setattr(simhash, "TILE", 16)
+    f = np.arange(256, dtype=np.uint64)
+    assert len(simhash.tile_links(f, 2)) == 255
