@@ -131,13 +131,15 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
     E = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float64)
     W, b = np.zeros((DIM, len(langs))), np.zeros(len(langs))
     W[:] = rng.normal(0, 0.1, W.shape)
-    weight = [r[2] / r[2].sum() for r in rows]
     y = np.array([number[r[0]] for r in rows])
     share = np.bincount(y[train] if len(train) else y, minlength=len(langs)).astype(float)
     balance = np.where(share > 0, share.sum() / np.maximum(share, 1) / len(langs), 1.0)
 
+    def weight(i: int) -> np.ndarray:
+        return rows[i][2] / rows[i][2].sum()
+
     def vector(i: int) -> np.ndarray:
-        return weight[i] @ E[rows[i][1]]
+        return weight(i) @ E[rows[i][1]]
 
     def soft(z: np.ndarray) -> np.ndarray:
         p = np.exp(z - z.max(axis=-1, keepdims=True))
@@ -157,7 +159,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
             W -= rate * (X.T @ g)
             b -= rate * g.sum(axis=0)
             for k, i in enumerate(part):  # sparse: only the buckets of the text move
-                E[rows[i][1]] -= 20 * rate * weight[i][:, None] * dX[k]
+                E[rows[i][1]] -= 20 * rate * weight(i)[:, None] * dX[k]
     check = held if len(held) else order
     z = np.stack([vector(i) for i in check]) @ W + b
     heat = min((float(np.exp(t)) for t in np.linspace(0, 3, 31)), key=lambda t: -np.log(soft(z / t)[np.arange(len(check)), y[check]] + 1e-12).mean())
@@ -170,8 +172,15 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
 def train(labelled: DataFrame) -> Model:
     """Fit on the bounded sample of labelled(text, lang): at most about ENTRIES entries of bags reach the driver."""
     got = sample(labelled).orderBy("lang", "h", F.col("ids")).toArrow()
-    names, ids, counts = got.column(0).to_pylist(), got.column(1).combine_chunks(), got.column(2).combine_chunks()
-    return fit([(names[i], np.array(ids[i].values.to_numpy()), np.array(counts[i].values.to_numpy())) for i in range(len(names))])
+    rows = []
+    for batch in got.to_batches():  # views of the batches' buffers
+        first = batch.column(1).offsets.to_numpy()
+        ids, counts = batch.column(1).values.to_numpy(), batch.column(2).values.to_numpy()
+        rows += [(x, ids[a:b], counts[a:b]) for x, a, b in zip(batch.column(0).to_pylist(), first, first[1:])]
+    model = fit(rows)
+    del got, rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
