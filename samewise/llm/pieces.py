@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
 
-UNITS, LONG, PAIRS, MODEL_BYTES, DEEP = 1_000_000, 400_000, 4_000_000, 64 << 20, 16
+UNITS, LONG, PAIRS, MODEL_BYTES, DEEP = 1_000_000, 150_000, 4_000_000, 64 << 20, 16
 MARK = "▁"
 #: Texts that a normaliser would change.
 PROBES = ("", "  two  spaces ", "ﬁ Ａ①½ e\u0301", "A▁b", "tab\tand\nline", "internationalisation")
