@@ -75,8 +75,8 @@ def _featured(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of part records: pairs from blocks, scored, classed, resolved, with their strength."""
-    out = scan(parts(spark, sf_dir), BLOCK_ON, FIELDS)
+    """Groups of part records: pairs of records of one name, scored, classed, resolved, with their strength."""
+    out = scan(parts(spark, sf_dir), ["second_commodity"], FIELDS)
     return out["strength"].orderBy("group_id")
 
 

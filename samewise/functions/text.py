@@ -172,5 +172,8 @@ def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
 def with_gram_counts(df: DataFrame, text: str, name: str) -> DataFrame:
     """df with the map of each character n-gram of ``text`` to its count; in steps, so that each is made once a row."""
     step = df.withColumn(name, F.array_sort(char_grams(F.col(text)))).withColumn(f"{name}_keys", F.array_distinct(name))
-    counts = F.transform(f"{name}_keys", lambda g: F.size(F.filter(F.col(name), lambda x: x == g)).cast("double"))
-    return step.withColumn(name, F.map_from_arrays(f"{name}_keys", counts)).drop(f"{name}_keys")
+    # of the sorted grams, where the last of each run stands: the runs' lengths are the differences
+    last = lambda x, i: (i + 1 == F.size(name)) | (x != F.get(F.col(name), i + 1))
+    step = step.withColumn(f"{name}_ends", F.filter(F.sequence(F.lit(1), F.greatest(F.size(name), F.lit(1))), lambda i: (F.size(name) > 0) & last(F.get(F.col(name), i - 1), i - 1)))
+    counts = F.transform(f"{name}_ends", lambda e, k: (e - F.when(k > 0, F.get(F.col(f"{name}_ends"), k - 1)).otherwise(0)).cast("double"))
+    return step.withColumn(name, F.map_from_arrays(f"{name}_keys", counts)).drop(f"{name}_keys", f"{name}_ends")

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where the setting is absent."""
+    """The folder named in spark.checkpoint.dir; where the setting is absent, one of our own in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="samewise-")
         spark.conf.set("spark.checkpoint.dir", found)
