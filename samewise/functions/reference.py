@@ -14,16 +14,19 @@ ABBREVIATIONS = {
     "piece": "pcs", "pieces": "pcs", "pcs": "pcs", "ss": "stainless steel", "mcb": "miniature circuit breaker",
     "cu": "copper", "filtration": "filter", "filtering": "filter", "amp": "amp", "amps": "amp", "a": "amp",
 }
+# Words that stand for no value, units of measurements, and words that change what an item is.
 NULL_WORDS = ["", "nan", "none"]
 UNITS = ["mm", "cm", "m", "kg", "g", "l", "ml", "v", "volt", "amp", "ph"]
 CRITICAL_MODIFIERS = [
     "oil", "fuel", "air", "water", "hydraulic", "cabin", "lube", "coolant", "stainless", "carbon", "rubber", "copper", "pvc",
     "left", "right", "red", "blue", "green", "yellow", "black", "white", "orange", "purple", "grey", "gray", "brown", "silver", "gold",
 ]
+# Terms that name no item.
 GENERIC_TERMS = [
     "label", "labels", "filter", "pipe", "bolt", "nut", "screw", "washer", "cable", "sensor", "paint", "oil", "material", "item",
     "part", "spare", "tool", "kit", "test", "sales", "component", "inventory",
 ]
+# Application contexts, and aliases of retrieval texts and part codes.
 CONTEXTS = {
     "gen": "generator", "generator": "generator", "hvac": "hvac", "elec": "electrical", "electrical": "electrical",
     "hyd": "hydraulic", "hydraulic": "hydraulic", "pneu": "pneumatic", "pneumatic": "pneumatic", "auto": "vehicle",
@@ -37,6 +40,7 @@ PART_CODES = {
     "fp": "fuelpump", "com": "compressor", "stat": "stator", "rot": "rotor", "brg": "bearing", "mtr": "motor", "assy": "assembly",
     "pnl": "panel",
 }
+# Descriptions and tokens without identity, and opposite terms.
 GENERIC_DESCRIPTIONS = [
     "part", "inventory part", "normal time", "sales part", "bracket", "test", "circuit board", "item", "material",
     "miscellaneous", "service",
@@ -60,6 +64,7 @@ WORD_GROUPS = {
     "SIGNAL_TYPE": ["analog", "digital"],
     "FLOW_ROLE": ["inlet", "outlet"],
 }
+# Sides, structural roles, sizes and ordinals.
 SIDES = {"left": "left", "lh": "left", "right": "right", "rh": "right", "front": "front", "rear": "rear"}
 STRUCTURAL_ROLES = {
     "top": "top", "comp": "component", "component": "component", "assy": "assembly", "assembly": "assembly", "sub": "subassembly",
@@ -128,6 +133,7 @@ HEADER_ALIASES = {
     "TYPES_OF_SALES_PART": "SALES_PART_TYPE", "CATALOG_TYPE": "SALES_PART_TYPE",
 }
 FALLBACK_ALIASES = {"PART_DESCRIPTION_IN_USE": "DESCRIPTION", "DESCRIPTION_IN_USE": "DESCRIPTION"}
+# Headers of sales tables, markers of inventories and strict fields.
 SALES_KEYS = ["SALES_PART_NO", "SALES_PART_NUMBER"]
 SALES_ALIASES = {
     "SALES_PART_NO": "PART_NO", "SALES_PART_NUMBER": "PART_NO", "PART_NO": "INVENTORY_PART_NO", "PART_NUMBER": "INVENTORY_PART_NO",

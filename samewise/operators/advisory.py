@@ -63,6 +63,7 @@ def explanation(pairs: DataFrame) -> Column:
     )
 
 
+# Conflict codes of profile fields.
 CONFLICTS = {
     "product_type": "PRODUCT_TYPE_CONFLICT", "purpose": "PURPOSE_CONFLICT", "model": "MODEL_CONFLICT", "material": "MATERIAL_CONFLICT",
     "size_or_dimension": "SIZE_OR_RATING_CONFLICT", "rating": "SIZE_OR_RATING_CONFLICT", "side": "SIDE_OR_PLACEMENT_CONFLICT",
