@@ -164,15 +164,14 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
         done = small if done is None else done.unionByName(small)
         if dealt is None:
             break
-        parts = []
-        for k in sorted(again):  # by what is left: the blocks they share, and one of the parts of the others
+        table = []  # (strip, the strips that it is dealt to, their masks): by the blocks they share and one part of the others
+        for k in sorted(again):
             rest = _blocks([b for b in range(64) if not masks[k] >> b & 1], radius + 1)
             new = {len(masks) + i: masks[k] | m for i, m in enumerate(rest)}
             masks |= new
-            parts.append(dealt.where(F.col("hot") & (F.col("strip") == k)).select("fp", key(list(new.items())).alias("s")).select("s.strip", "s.key", "fp"))
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
+            table += [(k, i, m - (1 << 64) if m >> 63 else m) for i, m in new.items()]
+        to = F.broadcast(distinct.sparkSession.createDataFrame(table, "strip long, to long, mask long"))  # few rows: a hot strip each
+        rows = dealt.where("hot").join(to, "strip").select(F.col("to").alias("strip"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     rows = done.repartition(n, "strip", "key").sortWithinPartitions("strip", "key")
     return rows.mapInArrow(lambda it: _strips(it, radius), "a long, b long").distinct()
 
