@@ -80,6 +80,20 @@ def lexical_top_k_bounded(index: DataFrame, k: int, rarest: int = 32, pool: int
     return completed(found, index.select("record_id"), k, lambda short: top_k(every.join(short, "src").join(b, "gram").where("src != dst").groupBy("src", "dst").agg(F.sum(F.col("wa") * F.col("wb")).alias("score")), k))
 
 
+def hashed_vectors(rows: DataFrame, bins: int = 384) -> DataFrame:
+    """(id, v) of rows(record_id, norm): the L2-normalised counts of a text's character n-grams in ``bins`` bins.
+
+    A gram's bin is the first eight hex digits of its MD5 as a number, modulo ``bins``: a hash of our own,
+    stable between releases and engines. Texts without words, and nulls, give zeros.
+    """
+    place = F.pmod(F.conv(F.substring(F.md5(F.col("gram").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(bins)).cast("int")
+    grams = rows.select("record_id", F.explode(X.char_grams(F.col("norm"))).alias("gram"))
+    counts = grams.groupBy("record_id", place.alias("bin")).agg(F.count("*").cast("double").alias("n"))
+    whole = counts.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.try_element_at("m", i) / F.col("size"), F.lit(0.0)))
+    return rows.select("record_id").distinct().join(whole, "record_id", "left").select(F.col("record_id").alias("id"), dense.alias("v"))
+
+
 def _unit(v: pd.Series) -> np.ndarray:
     m = np.array([np.asarray(x, dtype=np.float64) for x in v])
     size = np.linalg.norm(m, axis=1, keepdims=True)
