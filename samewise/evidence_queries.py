@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .catalog_queries import _GRADED, PAIRS, PARTS, _graded, _t, blocked_pairs, parts, query, sql_norm
 from .functions import identity as I
-from .operators import evidence, retrieval, shadow
+from .operators import evidence, retrieval, rules, shadow
+from .plans import scan as plan
 
 
 def _facts(spark, sf):
@@ -168,3 +169,9 @@ def hashed_vectors(spark, sf):
     rows = parts(spark, sf).select("record_id", X.normalize_description(F.col("description")).alias("norm"))
     v = retrieval.hashed_vectors(rows).select(F.col("id").alias("record_id"), F.posexplode("v").alias("bin", "weight"))
     return v.where("weight > 0").select("record_id", "bin", F.round("weight", 9).alias("weight"))
+
+
+@query()
+def hybrid_proposals(spark, sf):
+    p = plan.proposals(plan.staged(rules.with_features(parts(spark, sf)), "features"))
+    return p.select("id1", "id2", "tier", "priority", "place", F.array_join("channels", ",").alias("channels"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
 from ..storage import staged
@@ -168,16 +168,30 @@ def probes(bits: int, radius: int) -> list[int]:
     return out + ([a | b for i, a in enumerate(one) for b in one[:i]] if radius > 1 else [])
 
 
-def lsh_top_k(vectors: DataFrame, k: int, tables: int = 32, bits: int = 12, radius: int = 2) -> DataFrame:
-    """Top-k among the rows whose code lies within ``radius`` bits in some table, ranked by exact cosine; rows with fewer than k get the exact top-k."""
-    codes = lsh_codes(vectors, tables, bits)
+def bit_agreement(a: Column, b: Column, bits: int) -> Column:
+    """How many bits two arrays of codes of ``bits`` bits share."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.lit(bits) - F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def lsh_top_k(vectors: DataFrame, k: int, tables: int = 32, bits: int = 12, radius: int = 2, pool: int | None = None) -> DataFrame:
+    """Top-k among the rows whose code lies within ``radius`` bits in some table, ranked by exact cosine; rows with fewer than k get the exact top-k.
+
+    With ``pool``, only so many of a row's candidates are ranked exactly: those that share the most bits of
+    all tables with it (ties by id).
+    """
+    codes = staged(lsh_codes(vectors, tables, bits), "codes")
     probe = codes.select(F.col("id").alias("src"), "tbl", F.explode(F.array(*[F.col("code").bitwiseXOR(F.lit(m)) for m in probes(bits, radius)])).alias("code"))
     near = probe.join(codes.select(F.col("id").alias("dst"), "tbl", "code"), ["tbl", "code"]).where("src != dst").select("src", "dst").distinct()
-    v = vectors.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    if pool is not None:
+        whole = codes.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("tbl", "code"))), lambda x: x["code"]).alias("codes"))
+        both = near.join(whole.select(F.col("id").alias("src"), F.col("codes").alias("a")), "src").join(whole.select(F.col("id").alias("dst"), F.col("codes").alias("b")), "dst")
+        near = top_k(both.select("src", "dst", bit_agreement(F.col("a"), F.col("b"), bits).cast("double").alias("score")), pool).select("src", "dst")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    full = near.join(v.select(F.col("id").alias("src"), F.col("v").alias("a")), "src").join(v.select(F.col("id").alias("dst"), F.col("v").alias("b")), "dst")
-    size = F.sqrt(dot(F.col("a"), F.col("a")) * dot(F.col("b"), F.col("b")))
-    found = top_k(full.select("src", "dst", F.when(size > 0, dot(F.col("a"), F.col("b")) / size).otherwise(0.0).alias("score")), k)
+    v = vectors.where("v is not null").select("id", F.transform("v", lambda x: x.cast("double")).alias("v")).withColumn("size", F.sqrt(dot(F.col("v"), F.col("v"))))
+    # unit vectors are made once a row and written, not once a pair
+    unit = staged(v.select("id", F.transform("v", lambda x: F.when(F.col("size") > 0, x / F.col("size")).otherwise(0.0)).alias("v")), "units")
+    full = near.join(unit.select(F.col("id").alias("src"), F.col("v").alias("a")), "src").join(unit.select(F.col("id").alias("dst"), F.col("v").alias("b")), "dst")
+    found = top_k(full.select("src", "dst", dot(F.col("a"), F.col("b")).alias("score")), k)
     return completed(found, vectors.where("v is not null").select("id"), k, lambda short: vector_top_k(vectors, k, of=short.select(F.col("src").alias("id"))))
 
 

@@ -128,10 +128,15 @@ def evaluate(pairs: DataFrame, fields: list[str], mode: str = MODES[0], uom_revi
     return df.withColumn("confidence", confidence(F.col("score"))).drop("rule", "sim", "critical", "one_sided", "structural", "reordered", "raw")
 
 
-def classify_edges(scored: DataFrame, feedback: Column | None = None) -> DataFrame:
-    """The signed class of every scored pair, with the reason; feedback: DUPLICATE, NOT_DUPLICATE or null."""
+def classify_edges(scored: DataFrame, feedback: Column | None = None, protected: Column | None = None) -> DataFrame:
+    """The signed class of every scored pair, with the reason; feedback: DUPLICATE, NOT_DUPLICATE or null.
+
+    protected: further conflict groups of a pair (array of strings), each of which keeps its records apart.
+    """
     human = F.coalesce(feedback, F.lit("")) if feedback is not None else F.lit("")
     conflicts = F.when(F.col("two_sided"), F.filter("mismatch_groups", lambda g: ~g.isin("CONTRACT", "UNIT_MEAS"))).otherwise(X.strings([]))
+    if protected is not None:
+        conflicts = F.array_distinct(F.concat(conflicts, F.coalesce(protected, X.strings([]))))
     reason, none = F.col("rejection_reason"), F.size("mismatch_groups") == 0
     cascade = [
         (human == "NOT_DUPLICATE", "CANNOT_LINK", F.lit("HUMAN_NON_DUPLICATE")),
