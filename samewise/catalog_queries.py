@@ -126,7 +126,10 @@ def blocking_pairs(spark, sf):
     return blocked_pairs(spark, sf)[0]
 
 
-@query()
+@query(f"""WITH RECURSIVE {PARTS}, s AS (SELECT *, n * (n - 1) // 2 AS pairs FROM (SELECT to_json([prime_commodity, second_commodity])::VARCHAR AS block, count(*) AS n FROM parts GROUP BY 1)),
+o AS (SELECT *, row_number() OVER (ORDER BY block) AS i FROM s WHERE pairs > 0 AND pairs <= 20000),
+w(i, used, kept) AS (SELECT 0::BIGINT, 0::BIGINT, false UNION ALL SELECT o.i, CASE WHEN used + pairs <= 20000 THEN used + pairs ELSE used END, used + pairs <= 20000 FROM w JOIN o ON o.i = w.i + 1)
+SELECT block, n, pairs FROM o JOIN w USING (i) WHERE kept""")
 def block_size_budget(spark, sf):
     return blocking.kept_blocks(blocking.block_key(parts(spark, sf), BLOCK_ON), 20_000)
 
@@ -138,7 +141,8 @@ def exact_description_channel(spark, sf):
     return blocking.key_pairs(rows, F.array("k"), F.lit(1.0), lambda key, a, b: F.max(a)).select("id1", "id2")
 
 
-@query()
+@query("""WITH k AS (SELECT s_suppkey AS r, 'fuelpump' || substr(s_name, 10, 8) AS key, row_number() OVER (PARTITION BY substr(s_name, 10, 8) ORDER BY s_suppkey) AS rn FROM supplier)
+SELECT a.r AS id1, b.r AS id2, max(len(a.key))::DOUBLE AS quality FROM k a JOIN k b ON a.key = b.key AND a.r < b.r WHERE a.rn <= 50 AND b.rn <= 50 GROUP BY 1, 2""")
 def family_key_channel(spark, sf):
     rows = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("record_id"), F.col("s_suppkey").alias("order_key"), F.concat_ws("-", F.lit("FP"), F.substring("s_name", 10, 8), (F.col("s_suppkey") % 10).cast("string")).alias("code"))
     return blocking.key_pairs(rows, X.family_keys(F.col("code")), F.lit(1.0), lambda key, a, b: F.max(F.length(key)).cast("double"))

@@ -33,7 +33,10 @@ def write_snapshot(df: DataFrame, path: str, scan_id: int) -> None:
 
 
 def cached_vectors(spark, wanted: DataFrame, cache_path: str, make) -> DataFrame:
-    """Vectors of wanted(fingerprint, text) from the cache; those it lacks are made by make(df) and appended."""
+    """Vectors of wanted(fingerprint, text) from the cache; those it lacks are made by make(df) and appended.
+
+    A fingerprint's vector is always the same, so what a repeated append left twice counts once.
+    """
     try:
         have = spark.read.parquet(cache_path)
     except Exception as e:  # noqa: BLE001
@@ -44,4 +47,4 @@ def cached_vectors(spark, wanted: DataFrame, cache_path: str, make) -> DataFrame
     if have is not None:
         missing = missing.join(have.select("fingerprint"), "fingerprint", "left_anti")
     make(missing).write.mode("append").parquet(cache_path)
-    return wanted.join(spark.read.parquet(cache_path), "fingerprint")
+    return wanted.join(spark.read.parquet(cache_path).dropDuplicates(["fingerprint"]), "fingerprint")

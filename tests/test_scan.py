@@ -1,6 +1,9 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from samewise.plans import scan as S
+from samewise.sources import sinks
 
 COLUMNS = "record_id long, part_no string, description string, contract string, unit_meas string, hsn_sac_code string, product_category_id string, commodity string"
 
@@ -56,3 +59,12 @@ def test_a_budget_defers_whole_blocks(spark):
 def test_an_empty_catalog(spark):
     out = S.scan(catalog(spark, ROWS).limit(0), ["commodity"], ["contract"], hybrid=True)
     assert out["proposals"].count() == 0 and out["resolved"].count() == 0
+
+
+def test_an_append_that_was_repeated_adds_no_rows(spark, tmp_path):
+    wanted = spark.createDataFrame([("a", "x"), ("b", "y"), ("a", "x")], "fingerprint string, text string")
+    make = lambda df: df.select("fingerprint", F.length("text").alias("v"))
+    path = str(tmp_path / "cache")
+    assert sinks.cached_vectors(spark, wanted, path, make).count() == 3
+    make(wanted).write.mode("append").parquet(path)
+    assert sinks.cached_vectors(spark, wanted, path, make).count() == 3
