@@ -304,7 +304,13 @@ def neighborhoods(spark, sf):
     return fusion.neighborhoods(fusion.fuse(_channels(spark, sf)).withColumn("priority", F.round("priority", 4)), 5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_RRF}, rec AS (SELECT id1, id2, n_channels, priority, sum(reciprocal::INT) > 0 AS rc FROM rrf JOIN ch USING (id1, id2) GROUP BY ALL),
+t AS (SELECT id1, id2, priority, CASE WHEN n_channels > 1 THEN 1 WHEN rc THEN 2 ELSE 3 END AS k FROM rec), z AS (SELECT greatest(500, 3 * count(*)) AS total FROM embeddings),
+caps AS (SELECT total, [ceil(250 * (total / 500)), ceil(200 * (total / 500)), ceil(50 * (total / 500))] AS cap FROM z), o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY k, priority DESC, id1, id2) AS i FROM t, caps),
+w(i, ok, taken, tiers, ids) AS (SELECT 0::BIGINT, false, 0::BIGINT, []::BIGINT[], []::BIGINT[] UNION ALL
+ SELECT i, ok, taken + ok::BIGINT, CASE WHEN ok THEN list_append(tiers, k) ELSE tiers END, CASE WHEN ok THEN list_concat(ids, [id1, id2]) ELSE ids END
+ FROM (SELECT o.*, w.taken, w.tiers, w.ids, w.taken < total AND len(list_filter(w.tiers, lambda x: x = k)) < cap[k] AND len(list_filter(w.ids, lambda x: x = id1)) < 10 AND len(list_filter(w.ids, lambda x: x = id2)) < 10 AS ok FROM w JOIN o ON o.i = w.i + 1))
+SELECT id1, id2, (['TIER_A', 'TIER_B', 'TIER_C'])[k] AS tier, priority, w.taken AS place FROM w JOIN o USING (i) WHERE w.ok""")
 def capped_selection(spark, sf):
     p = fusion.fuse(_channels(spark, sf)).withColumn("priority", F.round("priority", 4))
     tier = F.when(F.col("n_channels") > 1, "TIER_A").when(F.col("n_reciprocal") > 0, "TIER_B").otherwise("TIER_C")
