@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog_queries import PAIRS, PARTS, _sql_map, _t, blocked_pairs, parts, query
+from .catalog_queries import PAIRS, PARTS, _sql_map, _t, blocked_pairs, blocked_rows, parts, query
 from .functions import reference as R, text as X
 from .operators import reports, review, rules, scope
 
@@ -18,9 +18,7 @@ def same_site_pairs(spark, sf):
 
 @query(f"WITH {PARTS}, {PAIRS} SELECT id1, id2 FROM pairs WHERE h1 = h2 AND k1 = k2 AND c1 <> c2 AND regexp_extract(d1, '[0-9]+mm') = regexp_extract(d2, '[0-9]+mm') AND d1 <> d2 OR h1 = h2 AND k1 = k2 AND c1 <> c2 AND d1 = d2")
 def allowed_pairs(spark, sf):
-    pairs, rows = blocked_pairs(spark, sf)
-    df = rules.joined(pairs, rules.with_features(rows))
-    return df.where(scope.allowed(df, "CROSS_SITE_STANDARDIZATION")).select("id1", "id2")
+    return scope.allowed_blocks(blocked_rows(spark, sf), "CROSS_SITE_STANDARDIZATION")
 
 
 @query(f"""WITH {PARTS}, {PAIRS}, x AS (SELECT a.record_id AS i, b.record_id AS j FROM parts a JOIN parts b ON a.record_id > b.record_id AND a.record_id % 3 = 0 AND b.record_id % 2 = 0 AND a.prime_commodity = b.prime_commodity)
