@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from samewise import catalog_queries, evidence_queries, rule_queries  # noqa: F401
-from samewise.operators import blocking, rules, scope
+from samewise.operators import blocking, retrieval, rules, scope
 
 COPIED = ["q_final_score_bands", "q_matched_fields", "q_variant_mismatch", "q_pair_tfidf", "q_allowed_pairs", "q_advisory_eligibility", "q_edge_class_counts", "q_technical_score", "q_fuzzy_score", "q_recall_pool"]
 
@@ -58,3 +58,13 @@ def test_scores_are_those_of_every_pair(rows, monkeypatch, mode):
     assert values(rules.evaluate_blocks(rows, FIELDS, pick, mode)) == values(plain)
     none = rows.limit(0)
     assert rules.evaluate_blocks(none, FIELDS, pick, mode).count() == 0
+
+
+TEXTS = ["oil filter", "oil filters", "gear pump", "gear", "", None, "oil pump", "filter"]
+
+
+def test_neighbours_by_texts(spark):
+    rows = spark.createDataFrame([(i, TEXTS[i * 7 % 8]) for i in range(40)], "record_id long, norm string")
+    plain = retrieval.lexical_top_k(retrieval.tfidf_index(rows), 3)
+    got = retrieval.by_texts(rows, 3, retrieval.lexical_top_k).select(*plain.columns)
+    assert plain.count() > 60 and values(got) == values(plain)
