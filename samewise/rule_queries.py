@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog_queries import PAIRS, PARTS, _sql_map, _t, blocked_pairs, blocked_rows, parts, query
+from .catalog_queries import PAIRS, PARTS, _sql_map, _t, blocked_rows, parts, query
 from .functions import reference as R, text as X
-from .operators import reports, review, rules, scope
+from .operators import blocking, reports, review, rules, scope
 
 
 @query(f"WITH {PARTS}, s AS (SELECT record_id, prime_commodity AS b, CASE WHEN record_id % 5 = 0 THEN NULL WHEN record_id % 2 = 0 THEN ' S1 ' ELSE contract END AS site FROM parts) SELECT x.record_id AS id1, y.record_id AS id2 FROM s x JOIN s y ON x.b = y.b AND x.record_id < y.record_id WHERE lower(trim(coalesce(x.site, ''))) = lower(trim(coalesce(y.site, '')))")
@@ -24,10 +24,14 @@ def allowed_pairs(spark, sf):
 @query(f"""WITH {PARTS}, {PAIRS}, x AS (SELECT a.record_id AS i, b.record_id AS j FROM parts a JOIN parts b ON a.record_id > b.record_id AND a.record_id % 3 = 0 AND b.record_id % 2 = 0 AND a.prime_commodity = b.prime_commodity)
 SELECT id1, id2 FROM pairs WHERE NOT EXISTS (SELECT 1 FROM x WHERE i = id2 AND j = id1)""")
 def pair_exclusions(spark, sf):
-    pairs, rows = blocked_pairs(spark, sf)
-    k = rows.select("record_id", "prime_commodity")
-    gone = k.where("record_id % 3 = 0").select(F.col("record_id").alias("key_1"), "prime_commodity").join(k.where("record_id % 2 = 0").select(F.col("record_id").alias("key_2"), "prime_commodity"), "prime_commodity").where("key_1 > key_2")
-    return scope.without_excluded(pairs.select("id1", "id2"), gone, F.col("id1"), F.col("id2"))
+    # a pair's exclusion depends on the records' classes and on which id is greater: they are excluded by pairs of classes
+    rows = blocked_rows(spark, sf).withColumns({"third": F.col("record_id") % 3 == 0, "even": F.col("record_id") % 2 == 0})
+
+    def judge(pairs, heads):
+        a, b = heads.where("third").select(F.col("record_id").alias("id2"), "prime_commodity"), heads.where("even").select(F.col("record_id").alias("id1"), "prime_commodity")
+        return pairs.join(a.join(b, "prime_commodity").select("id1", "id2"), ["id1", "id2"], "left_anti")
+
+    return blocking.by_classes(rows, ["prime_commodity", "third", "even"], judge)
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
