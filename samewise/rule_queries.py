@@ -12,8 +12,9 @@ from .operators import blocking, reports, review, rules, scope
 @query(f"WITH {PARTS}, s AS (SELECT record_id, prime_commodity AS b, CASE WHEN record_id % 5 = 0 THEN NULL WHEN record_id % 2 = 0 THEN ' S1 ' ELSE contract END AS site FROM parts) SELECT x.record_id AS id1, y.record_id AS id2 FROM s x JOIN s y ON x.b = y.b AND x.record_id < y.record_id WHERE lower(trim(coalesce(x.site, ''))) = lower(trim(coalesce(y.site, '')))")
 def same_site_pairs(spark, sf):
     s = parts(spark, sf).select("record_id", F.col("prime_commodity").alias("b"), F.when(F.col("record_id") % 5 == 0, None).when(F.col("record_id") % 2 == 0, " S1 ").otherwise(F.col("contract")).alias("site"))
-    pairs = s.select(F.col("record_id").alias("id1"), "b", F.col("site").alias("s1")).join(s.select(F.col("record_id").alias("id2"), "b", F.col("site").alias("s2")), "b").where("id1 < id2")
-    return pairs.where(scope.same_site(F.col("s1"), F.col("s2"))).select("id1", "id2")
+    # records of two sites never meet
+    s = s.select("record_id", "b", scope.site(F.col("site")).alias("site"))
+    return s.withColumnRenamed("record_id", "id1").join(s.withColumnRenamed("record_id", "id2"), ["b", "site"]).where("id1 < id2").select("id1", "id2")
 
 
 @query(f"WITH {PARTS}, {PAIRS} SELECT id1, id2 FROM pairs WHERE h1 = h2 AND k1 = k2 AND c1 <> c2 AND regexp_extract(d1, '[0-9]+mm') = regexp_extract(d2, '[0-9]+mm') AND d1 <> d2 OR h1 = h2 AND k1 = k2 AND c1 <> c2 AND d1 = d2")

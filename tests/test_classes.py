@@ -68,3 +68,8 @@ def test_neighbours_by_texts(spark):
     plain = retrieval.lexical_top_k(retrieval.tfidf_index(rows), 3)
     got = retrieval.by_texts(rows, 3, retrieval.lexical_top_k).select(*plain.columns)
     assert plain.count() > 60 and values(got) == values(plain)
+
+
+def test_records_of_two_sites_never_meet(spark, data):
+    plan = catalog_queries.QUERIES["q_same_site_pairs"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "site" in plan.split("Join [")[1].split("]")[0]
