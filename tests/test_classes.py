@@ -73,3 +73,11 @@ def test_neighbours_by_texts(spark):
 def test_records_of_two_sites_never_meet(spark, data):
     plan = catalog_queries.QUERIES["q_same_site_pairs"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "site" in plan.split("Join [")[1].split("]")[0]
+
+
+def test_the_bounded_pool_is_of_texts(spark):
+    # 100 copies fill a pool of 80 records; the third neighbour is another text
+    rows = spark.createDataFrame([(i, "oil filter") for i in range(100)] + [(200, "oil filters"), (201, "oil filter x"), (202, "gear pump")], "record_id long, norm string")
+    want = retrieval.lexical_top_k(retrieval.tfidf_index(rows), 100).where("src = 0")
+    got = retrieval.by_texts(rows, 100, retrieval.lexical_top_k_bounded).where("src = 0").select(*want.columns)
+    assert values(got) == values(want)
