@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog_queries import _GRADED, PAIRS, PARTS, _graded, _t, blocked_pairs, parts, query, sql_norm
+from .catalog_queries import _GRADED, PAIRS, PARTS, _graded, _t, blocked_pairs, blocked_rows, parts, query, sql_norm
 from .functions import identity as I
 from .operators import evidence, retrieval, rules, shadow
 from .plans import scan as plan
@@ -53,8 +53,7 @@ def signed_facts(spark, sf):
 @query(f"""WITH {PARTS}, {PAIRS}, {_SIGNED}, s AS (SELECT id1, id2, bool_or(fact LIKE 'IDENTITY_C%') AS x, bool_or(fact NOT LIKE 'IDENTITY_C%') AS o, bool_or(fact LIKE 'IDENTITY_S%') AS i, bool_or(fact LIKE 'LEX%') AS l FROM signed WHERE fact IS NOT NULL GROUP BY 1, 2)
 SELECT id1, id2, CASE WHEN x AND o THEN 'SHADOW_MIXED_EVIDENCE' WHEN x THEN 'SHADOW_EXPLICIT_CONTRADICTION' WHEN i THEN 'SHADOW_TRUSTED_IDENTITY_PRESENT' WHEN l THEN 'SHADOW_LEXICAL_ONLY_OR_UNRESOLVED' ELSE 'SHADOW_INSUFFICIENT' END AS bucket FROM pairs LEFT JOIN s USING (id1, id2)""")
 def evidence_buckets(spark, sf):
-    pairs = blocked_pairs(spark, sf)[0]
-    return evidence.evidence_buckets(pairs, evidence.signed_facts(pairs, _facts(spark, sf)))
+    return evidence.block_buckets(blocked_rows(spark, sf), _facts(spark, sf))
 
 
 _REQUESTS = f"""WITH RECURSIVE {_GRADED.removeprefix("WITH ")}, u0 AS (SELECT record_id, min(record_id) OVER (PARTITION BY prime_commodity, second_commodity) AS unit FROM parts), u AS (SELECT * FROM u0 WHERE unit IN (SELECT unit FROM u0 GROUP BY unit HAVING count(*) <= 20)),
