@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog_queries import _GRADED, PAIRS, PARTS, _graded, _t, blocked_pairs, blocked_rows, parts, query, sql_norm
+from .catalog_queries import _GRADED, PAIRS, PARTS, _graded, _t, blocked_rows, parts, query, sql_norm
 from .functions import identity as I
 from .operators import evidence, retrieval, rules, shadow
 from .plans import scan as plan
@@ -47,7 +47,7 @@ signed AS (SELECT id1, id2, c, k, v1, v2, CASE
 
 @query(f"WITH {PARTS}, {PAIRS}, {_SIGNED} SELECT id1, id2, split_part(fact, ' ', 1) AS channel, c AS category, k AS key, v1 AS value_1, v2 AS value_2, split_part(fact, ' ', 2) AS reason FROM signed WHERE fact IS NOT NULL")
 def signed_facts(spark, sf):
-    return evidence.signed_facts(blocked_pairs(spark, sf)[0], _facts(spark, sf))
+    return evidence.block_facts(blocked_rows(spark, sf), _facts(spark, sf))
 
 
 @query(f"""WITH {PARTS}, {PAIRS}, {_SIGNED}, s AS (SELECT id1, id2, bool_or(fact LIKE 'IDENTITY_C%') AS x, bool_or(fact NOT LIKE 'IDENTITY_C%') AS o, bool_or(fact LIKE 'IDENTITY_S%') AS i, bool_or(fact LIKE 'LEX%') AS l FROM signed WHERE fact IS NOT NULL GROUP BY 1, 2)

@@ -88,3 +88,9 @@ def test_buckets_are_those_of_every_pair(spark, rows):
     pairs = blocking.block_pairs(rows)
     plain = evidence.evidence_buckets(pairs, evidence.signed_facts(pairs, facts))
     assert plain.select("bucket").distinct().count() > 2 and values(evidence.block_buckets(rows, facts)) == values(plain)
+
+
+def test_facts_are_those_of_every_pair(spark, rows):
+    facts = evidence_queries._facts(spark, "/root/testdata/sf0.001").where("record_id % 12 != 0")
+    plain = evidence.signed_facts(blocking.block_pairs(rows), facts)
+    assert plain.count() > 0 and values(evidence.block_facts(rows, facts).select(*plain.columns)) == values(plain)
