@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from samewise import catalog_queries, evidence_queries, rule_queries  # noqa: F401
 from samewise.operators import blocking, evidence, retrieval, rules, scope
 
-COPIED = ["q_final_score_bands", "q_matched_fields", "q_variant_mismatch", "q_pair_tfidf", "q_allowed_pairs", "q_advisory_eligibility", "q_edge_class_counts", "q_technical_score", "q_fuzzy_score", "q_recall_pool", "q_pair_exclusions"]
+COPIED = ["q_final_score_bands", "q_matched_fields", "q_variant_mismatch", "q_pair_tfidf", "q_allowed_pairs", "q_advisory_eligibility", "q_edge_class_counts", "q_technical_score", "q_fuzzy_score", "q_recall_pool", "q_pair_exclusions", "q_protected_conflicts"]
 
 COLUMNS = "record_id long, part_no string, description string, contract string, unit_meas string, hsn_sac_code string, product_category_id string, commodity string"
 # generic texts, contexts, missing and equal part numbers, null fields, copies
