@@ -2,6 +2,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from samewise.operators import retrieval, rules
 from samewise.plans import scan as S
 from samewise.sources import sinks
 
@@ -68,3 +69,30 @@ def test_an_append_that_was_repeated_adds_no_rows(spark, tmp_path):
     assert sinks.cached_vectors(spark, wanted, path, make).count() == 3
     make(wanted).write.mode("append").parquet(path)
     assert sinks.cached_vectors(spark, wanted, path, make).count() == 3
+
+
+def test_the_vectors_of_a_scan_are_of_texts(spark, monkeypatch):
+    class Enough(Exception):
+        pass
+
+    seen = []
+
+    def stop(rows):
+        seen.append(rows.count())
+        raise Enough
+
+    monkeypatch.setattr(retrieval, "hashed_vectors", stop)
+    copied = [(i, f"P{i}", ("oil seal 40mm rubber", "gear pump", "")[i % 3], "a") for i in range(30)]
+    with pytest.raises(Enough):
+        S.channels(rules.with_features(catalog(spark, copied)))
+    assert seen == [2]
+
+
+def test_neighbours_of_texts_spread_to_their_records(spark):
+    words = ["oil seal", "oil seals", "gear pump", "seal oil", "pump", "gear pumps oil"]
+    rows = spark.createDataFrame([(i, words[i * i % 7 % 6]) for i in range(40)], "record_id long, norm string")
+    heads = retrieval.text_heads(rows)
+    near = retrieval.vector_top_k(retrieval.hashed_vectors(heads), 5)
+    got = retrieval.spread(rows, heads, near, heads.select("record_id", F.lit(1.0).alias("score")), 5)
+    want = retrieval.vector_top_k(retrieval.hashed_vectors(rows), 5)
+    assert sorted(map(tuple, got.select("src", "dst", "score", "rank").collect())) == sorted(map(tuple, want.select("src", "dst", "score", "rank").collect()))
