@@ -94,3 +94,28 @@ def test_facts_are_those_of_every_pair(spark, rows):
     facts = evidence_queries._facts(spark, "/root/testdata/sf0.001").where("record_id % 12 != 0")
     plain = evidence.signed_facts(blocking.block_pairs(rows), facts)
     assert plain.count() > 0 and values(evidence.block_facts(rows, facts).select(*plain.columns)) == values(plain)
+
+
+def test_the_search_asks_every_twentieth_row(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {(r.src, r.dst) for r in catalog_queries.QUERIES["q_vector_lsh_topk"](spark, sf).collect()}
+    rows = catalog_queries._vectors(spark, sf)
+    want = {(r.src, r.dst) for r in retrieval.vector_top_k(rows, 5, of=rows.where("id % 20 = 0").select("id")).collect()}
+    assert {a for a, _ in got} == set(range(0, 500, 20)) and len(got) == 125
+    assert len(got & want) / len(want) >= 0.9
+
+
+def test_neighbours_within_the_radius_are_those_of_every_pair(spark):
+    import numpy as np
+
+    v = np.random.default_rng(3).normal(size=(300, 16))
+    v[100:140] = v[7]  # copies
+    df = spark.createDataFrame([(i * 3, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    codes = (u @ retrieval.hyperplanes(16, 32, 12).T >= 0).reshape(300, 32, 12)
+    near = ((codes[:, None] != codes[None]).sum(axis=3) <= 1).any(axis=2) & ~np.eye(300, dtype=bool)
+    s = np.where(near, np.round(u @ u.T, 9), -np.inf)
+    want = {(i * 3, int(j) * 3) for i in range(300) if near[i].sum() >= 4 for j in np.argsort(-s[i], kind="stable")[:4]}
+    short = {i * 3 for i in range(300) if near[i].sum() < 4}
+    got = {(r.src, r.dst) for r in retrieval.lsh_top_k(df, 4, radius=1).collect() if r.src not in short}
+    assert got == want and len(want) > 600
