@@ -2,7 +2,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from samewise.operators import retrieval, rules
+from samewise.functions import identity
+from samewise.operators import blocking, retrieval, rules
 from samewise.plans import scan as S
 from samewise.sources import sinks
 
@@ -96,3 +97,26 @@ def test_neighbours_of_texts_spread_to_their_records(spark):
     got = retrieval.spread(rows, heads, near, heads.select("record_id", F.lit(1.0).alias("score")), 5)
     want = retrieval.vector_top_k(retrieval.hashed_vectors(rows), 5)
     assert sorted(map(tuple, got.select("src", "dst", "score", "rank").collect())) == sorted(map(tuple, want.select("src", "dst", "score", "rank").collect()))
+
+
+def test_copies_are_scored_once_and_resolved_as_every_pair(spark, monkeypatch):
+    said = ["filter", "oil seal 40mm rubber", "head lamp bracket steel", "tail lamp bracket steel", "seal oil 40mm rubber", "gear pump", "lh mirror", "rh mirror"]
+    made = [(i, (f"P{i}", "", None, f"G{i} generator", "P3")[i % 5] if i % 4 else f"Q{i}", said[i * 3 % 8] if i < 60 else said[0] + f" {i % 7}0mm", "ab"[i % 2] + str(i // 60)) for i in range(100)]
+    rows = catalog(spark, made)
+    scored, evaluate = [], rules.evaluate
+    monkeypatch.setattr(rules, "evaluate", lambda pairs, *a, **b: scored.append(pairs.count()) or evaluate(pairs, *a, **b))
+    pairs = blocking.block_pairs(blocking.block_key(rows, ["commodity"]))
+    got, want = S.scan(rows, ["commodity"], ["contract", "unit_meas"]), S.scan(rows, ["commodity"], ["contract", "unit_meas"], pairs=pairs)
+    assert scored[0] < scored[1] == pairs.count()
+    for name in ("edges", "units", "resolved", "members", "unassigned", "strength"):
+        assert sorted(map(repr, got[name].select(*want[name].columns).collect())) == sorted(map(repr, want[name].collect())), name
+    assert want["resolved"].where("kind = 'GROUP'").count() > 2
+
+
+def test_discriminators_are_those_of_every_record(spark):
+    numbers = [None, "", "P12", "P13", "n/a", "LH-20", "20RH", "L/H 7", "head 5 lamp", "HEAD lamp 77", "tyre10 snow", "Mirror2", "12 left", "X9left", "condition 4", "tail12lamp", "lh", "7 at tyre"]
+    said = [None, "", "rh mirror 20mm", "oil seal 40mm", "tyre snow", "head lamp 5"]
+    rows = spark.createDataFrame([(i * 10 + j, p, d) for i, p in enumerate(numbers) for j, d in enumerate(said)], "record_id long, part_no string, description string")
+    got = identity.with_shared_discriminators(rows, "disc")
+    want = identity.with_discriminators(rows, F.col("part_no"), F.col("description"), "disc")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(*got.columns).collect()))
