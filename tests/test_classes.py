@@ -70,6 +70,17 @@ def test_neighbours_by_texts(spark):
     assert plain.count() > 60 and values(got) == values(plain)
 
 
+def test_neighbours_by_blocks_are_those_of_the_join(spark, data, monkeypatch):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(dict.fromkeys(TEXTS))] + [(50 + i, f"supplier {i} {i % 7}") for i in range(60)], "record_id long, norm string")
+    index = retrieval.tfidf_index(rows)
+    monkeypatch.setattr(retrieval, "TEXT_BLOCK", 20)
+    plain = retrieval.lexical_top_k(index, 4)
+    got = retrieval.lexical_top_k_blocks(index, 4)
+    pick = lambda df: values(df.select("src", "dst", F.round("score", 6).alias("score"), "rank"))
+    assert plain.count() > 200 and pick(got) == pick(plain)
+    assert "gram#" not in catalog_queries.QUERIES["q_char_tfidf_topk"](spark, data)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_records_of_two_sites_never_meet(spark, data):
     plan = catalog_queries.QUERIES["q_same_site_pairs"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "site" in plan.split("Join [")[1].split("]")[0]
