@@ -107,6 +107,15 @@ def test_facts_are_those_of_every_pair(spark, rows):
     assert plain.count() > 0 and values(evidence.block_facts(rows, facts).select(*plain.columns)) == values(plain)
 
 
+def test_facts_are_judged_by_topics(spark, rows, monkeypatch):
+    facts = evidence_queries._facts(spark, "/root/testdata/sf0.001")
+    seen, real = [], blocking.class_pairs
+    monkeypatch.setattr(blocking, "class_pairs", lambda *a, **k: (seen.append(real(*a, **k)), seen[-1])[1])
+    evidence.block_facts(rows, facts).count()
+    classes = rows.join(evidence._observations(facts, ["record_id"]), "record_id").select("block", "facts").distinct()
+    assert seen[0].chunks.select("class").distinct().count() < classes.select("facts").distinct().count()
+
+
 def test_the_search_asks_every_twentieth_row(spark):
     sf = "/root/testdata/sf0.01"
     got = {(r.src, r.dst) for r in catalog_queries.QUERIES["q_vector_lsh_topk"](spark, sf).collect()}
