@@ -60,6 +60,14 @@ def test_scores_are_those_of_every_pair(rows, monkeypatch, mode):
     assert rules.evaluate_blocks(none, FIELDS, pick, mode).count() == 0
 
 
+def test_two_texts_are_compared_once(rows, monkeypatch):
+    seen, real = [], rules.compared
+    monkeypatch.setattr(rules, "compared", lambda pairs, *a: (seen.append(pairs.select("id1", "id2")), real(pairs, *a))[1])
+    # the classes of a text differ in their sites and units
+    rules.evaluate_blocks(rows.where("commodity = 'b'").withColumn("contract", F.concat(F.lit("S"), F.col("record_id") % 7)), FIELDS, lambda df: df.select("id1", "id2", "score"), "DISCOVERY", uom_review=True).count()
+    assert seen[0].count() == seen[0].distinct().count() <= 16
+
+
 TEXTS = ["oil filter", "oil filters", "gear pump", "gear", "", None, "oil pump", "filter"]
 
 
