@@ -172,5 +172,5 @@ def hashed_vectors(spark, sf):
 
 @query()
 def hybrid_proposals(spark, sf):
-    p = plan.proposals(plan.staged(rules.with_features(parts(spark, sf)), "features"))
+    p = plan.proposals(plan.staged(rules.with_shared_features(parts(spark, sf)).drop("grams"), "features"))
     return p.select("id1", "id2", "tier", "priority", "place", F.array_join("channels", ",").alias("channels"))

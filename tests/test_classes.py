@@ -60,6 +60,14 @@ def test_scores_are_those_of_every_pair(rows, monkeypatch, mode):
     assert rules.evaluate_blocks(none, FIELDS, pick, mode).count() == 0
 
 
+def test_shared_features_are_those_of_each_record(rows, monkeypatch):
+    seen, real = [], rules.with_features
+    want = values(real(rows))
+    monkeypatch.setattr(rules, "with_features", lambda df: (seen.append(df.count()), real(df))[1])
+    assert values(rules.with_shared_features(rows)) == want and len(want) == 28
+    assert seen == [rows.select("description").distinct().count()]
+
+
 def test_two_texts_are_compared_once(rows, monkeypatch):
     seen, real = [], rules.compared
     monkeypatch.setattr(rules, "compared", lambda pairs, *a: (seen.append(pairs.select("id1", "id2")), real(pairs, *a))[1])
